@@ -21,6 +21,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm import jaccard_join
+
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm import sentencepiece_codec
 
@@ -35,5 +41,23 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op4_sentencepiece, op7_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op4_sentencepiece, op7_token_output)}
+#: Words of a text as SQL, with A-Z in lower case.
+_LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce({_LOWER_WORDS}, []) AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        sets AS (SELECT list_sort(s) AS s, min(doc_id) AS class_id, len(any_value(s)) AS n FROM s GROUP BY list_sort(s)),
+        e AS (SELECT class_id, n, unnest(s) AS g FROM sets),
+        p AS (SELECT x.class_id AS a, y.class_id AS b FROM e x JOIN e y ON x.g = y.g AND x.class_id <> y.class_id
+              GROUP BY x.class_id, y.class_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        r(a, b) AS (SELECT class_id, class_id FROM sets UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        c AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
+               CASE WHEN len(s.s) = 0 THEN doc_id ELSE component_id END AS component_id,
+               CASE WHEN len(s.s) = 0 THEN doc_id ELSE class_id END AS class_id
+        FROM s JOIN sets ON list_sort(s.s) = sets.s JOIN c USING (class_id)""",
+}
