@@ -33,6 +33,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm import substring_dedup
+
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm import token_output
 
@@ -41,7 +47,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op4_sentencepiece, op7_token_output)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op4_sentencepiece, op6_substring_dedup, op7_token_output)}
 #: Words of a text as SQL, with A-Z in lower case.
 _LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -60,4 +66,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN len(s.s) = 0 THEN doc_id ELSE component_id END AS component_id,
                CASE WHEN len(s.s) = 0 THEN doc_id ELSE class_id END AS class_id
         FROM s JOIN sets ON list_sort(s.s) = sets.s JOIN c USING (class_id)""",
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        i AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+        k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM i),
+        r AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN r USING (k)),
+        v AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM w),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS x, count(*) AS n FROM v ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
 }
