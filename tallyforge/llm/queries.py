@@ -27,6 +27,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm import kd_shards
+
+    return kd_shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm import pivot_search
+
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm import sentencepiece_codec
 
@@ -47,7 +59,13 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op4_sentencepiece, op6_substring_dedup, op7_token_output)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm import quality
+
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kd_sharding, op3_pivot_top_k, op4_sentencepiece, op6_substring_dedup, op7_token_output, op8_quality_classifier)}
 #: Words of a text as SQL, with A-Z in lower case.
 _LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -66,6 +84,13 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN len(s.s) = 0 THEN doc_id ELSE component_id END AS component_id,
                CASE WHEN len(s.s) = 0 THEN doc_id ELSE class_id END AS class_id
         FROM s JOIN sets ON list_sort(s.s) = sets.s JOIN c USING (class_id)""",
+    "op3_pivot_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+              FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op6_substring_dedup": r"""
         WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
         i AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
