@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_IDS = 1 << 18
-MEMO_UNITS = 400_000
+MEMO_UNITS = 1_000_000
 MEMO_CHARS = 64
 _HEAD = struct.Struct("<4sB3xIQ")
 
@@ -139,7 +139,7 @@ class Encoder:
         known, out = self.known, []
         for at in range(0, len(texts), 256):
             units = [UNITS.findall(t) for t in texts[at : at + 256]]
-            new = list({u for us in units for u in us if u not in known})
+            new = list(set().union(*units).difference(known))
             once = {}
             for u, ids in zip(new, self._plain(new)):
                 (known if len(u) <= MEMO_CHARS else once)[u] = ids
