@@ -27,6 +27,7 @@ NAMES = ("words", "word_length", "vocabulary", "top_word", "repeats", "upper", "
 SHRINK_POOLED = 0.1
 SHRINK_UNIT = 0.01
 TEMPERATURE = 4.0
+FEW = 4
 
 _KINDS = 10
 _KIND = np.full(256, 8, np.int64)
@@ -61,7 +62,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     out[:, 0] = np.log1p(n)
     out[:, 1] = np.log1p(size / count)
     out[:, 2] = np.log1p(distinct) / np.log1p(count)
-    shares = (top / count, add(same) / count, kinds[:, 1] / letters, *(kinds[:, k] / some for k in (2, 5, 6, 7, 8, 9)), kinds[:, 4] / count, add(ended) / count)
+    few, short = count + FEW, some + 5 * FEW  # shares of a few words say little
+    shares = (np.maximum(top - 1, 0) / few, add(same) / few, kinds[:, 1] / (letters + 5 * FEW), *(kinds[:, k] / short for k in (2, 5, 6, 7, 8, 9)), kinds[:, 4] / few, add(ended) / few)
     for i, share in enumerate(shares, 3):
         out[:, i] = np.sqrt(share)
     return out
