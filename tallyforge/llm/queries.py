@@ -65,7 +65,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kd_sharding, op3_pivot_top_k, op4_sentencepiece, op6_substring_dedup, op7_token_output, op8_quality_classifier)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kd_sharding, op3_pivot_top_k, op4_sentencepiece, op6_substring_dedup, op7_token_output, op8_quality_classifier, op9_decontamination)}
 #: Words of a text as SQL, with A-Z in lower case.
 _LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 

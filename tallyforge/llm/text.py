@@ -99,12 +99,15 @@ class Words:
         return left >= n
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, space: np.ndarray = SPACE, prepare=None) -> Words:
+    """``space``: which bytes part words. ``prepare``: changes bytes first, one for one."""
     data, offsets = utf8(column)
+    if prepare is not None and len(data):
+        data = prepare(data)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets), np.int64))
-    space = SPACE[data]
+    space = space[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     before[offsets[:-1][offsets[:-1] < len(data)]] = True
