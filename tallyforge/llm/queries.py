@@ -77,7 +77,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kd_sharding, op3_pivot_top_k, op4_sentencepiece, op5_html_extraction, op6_substring_dedup, op7_token_output, op8_quality_classifier, op9_decontamination)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm import lm_scoring
+
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kd_sharding, op3_pivot_top_k, op4_sentencepiece, op5_html_extraction, op6_substring_dedup, op7_token_output, op8_quality_classifier, op9_decontamination, op10_lm_scoring)}
 #: Words of a text as SQL, with A-Z in lower case.
 _LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
