@@ -3,8 +3,9 @@
 A size-aware join. Sets up to a boundary size are *light*: for each overlap ``c`` that a pair of such sizes needs,
 a set puts out all its subsets of size ``c``, and equal subsets are links without more checks. Larger sets are
 *heavy*: they meet in inverted lists, of which only a prefix is needed (a set's ``n - ceil(t n) + 1`` rarest
-shingles), and the pairs that sizes and places in the lists allow are checked on the whole sets. The boundary is
-the largest size at which putting out subsets costs less than scanning lists, given the corpus's mean list.
+shingles), and the pairs that sizes, places in the lists and parity bitmaps allow are checked on the whole sets. (Of a
+set, bit b of its bitmap is the parity of its shingles with hash b, so sets differ in at least as many shingles as their
+bitmaps in bits.) The boundary is the largest size at which putting out subsets costs less than scanning lists, given the corpus's mean list.
 
 Equal sets are one node from the start. In a list all nodes are first checked against its least node; afterwards
 only pairs that lie in different components so far are checked, so a large group of near copies costs about one
@@ -37,6 +38,7 @@ FREQUENT = 1 << 17
 SKETCH_ROWS = 1 << 21
 CHECK_COST = 4.0
 MAX_LIGHT = 24
+BITS = 1024
 
 
 def need(n: int, m: int, percent: int) -> int:
@@ -63,6 +65,10 @@ def boundary(mean_list: float, percent: int) -> int:
     return x
 
 
+def _parity(items: np.ndarray) -> bytes:
+    return np.packbits((np.bincount(items.view(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _signature(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())
 
@@ -109,7 +115,7 @@ def _lists(size: int, percent: int, light: int, frequent: tuple[np.ndarray, np.n
         seen: set[bytes] = set()
         for batch in batches:
             for part in T.slices(batch, "text"):
-                rows: list[tuple[bytes, int, np.ndarray, list[int], list[int]]] = []
+                rows: list[tuple[bytes, int, np.ndarray, list[int], list[int], bytes]] = []
                 sets = list(T.shingle_sets(part.column("text"), size))
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 at = np.minimum(np.searchsorted(items, every), max(0, len(items) - 1))
@@ -129,10 +135,10 @@ def _lists(size: int, percent: int, light: int, frequent: tuple[np.ndarray, np.n
                             for some in combinations(s.tolist(), c):
                                 cs.append(c)
                                 keys.append(xxhash.xxh3_64_intdigest(np.array(some, np.uint64).tobytes()) - (1 << 63))
-                    rows.append((sig, n, first, cs, keys))
+                    rows.append((sig, n, first, cs, keys, _parity(s)))
                 lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate([np.asarray(p, kind) for p in parts]), pa.from_numpy_dtype(kind)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2].view(np.int64) for r in rows], np.int64), lists([r[3] for r in rows], np.int32), lists([r[4] for r in rows], np.int64)], names=["sig", "n", "items", "cs", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2].view(np.int64) for r in rows], np.int64), lists([r[3] for r in rows], np.int32), lists([r[4] for r in rows], np.int64), lists([np.frombuffer(r[5], np.int64) for r in rows], np.int64)], names=["sig", "n", "items", "cs", "keys", "bits"])
 
     return run
 
@@ -184,9 +190,9 @@ class JaccardJoin:
         distinct = len(least) if len(least) < 256 else (len(least) - 1) / (float(least.max()) / 2.0**64)
         self.light = boundary(total / max(1.0, distinct), self.percent)
         frequent = (often["item"].to_numpy(), often["n"].to_numpy(np.int64))
-        shapes = self.docs.mapInArrow(_lists(self.size, self.percent, self.light, frequent), "sig binary, n int, items array<bigint>, cs array<int>, keys array<bigint>")
-        one = shapes.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("cs").alias("cs"), F.first("keys").alias("keys"))
-        self.shapes = self.scratch.save(one.join(nodes, "sig").select("node", "n", "items", "cs", "keys").where("node is not null"), "shapes")
+        shapes = self.docs.mapInArrow(_lists(self.size, self.percent, self.light, frequent), "sig binary, n int, items array<bigint>, cs array<int>, keys array<bigint>, bits array<bigint>")
+        one = shapes.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("cs").alias("cs"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+        self.shapes = self.scratch.save(one.join(nodes, "sig").select("node", "n", "items", "cs", "keys", "bits").where("node is not null"), "shapes")
 
     def _light_links(self) -> DataFrame:
         """A subset's least set has every link that the subset gives: all whose sizes need no more than the subset."""
@@ -204,19 +210,30 @@ class JaccardJoin:
         sized = (100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")) & (F.greatest("n", "m") > self.light)
         return pairs.where((F.col("node") != F.col("b")) & sized & (rest >= self._need("n", "m")))
 
-    def _check(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_items", "b_items").mapInArrow(_checked(self.percent), "a long, b long, both long, either long")
+    def _check(self, pairs: DataFrame, label: str) -> DataFrame:
+        """Which pairs of nodes are links: by their bitmaps first, and what is left on the whole sets."""
+        bits = lambda x: self.shapes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+        apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        may = pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= F.col("a_n") + F.col("b_n") - 2 * self._need("a_n", "b_n"))
+        may = self.scratch.save(may.select("a", "b").distinct(), f"{label}-pairs")
+        release_shuffles(self.spark)
+        wanted = may.select(F.col("a").alias("doc_id")).union(may.select(F.col("b").alias("doc_id"))).distinct()
+        sets = self.scratch.save(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_whole_sets(self.size), "node long, items binary"), f"{label}-sets")
+        release_shuffles(self.spark)
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
+        links = may.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_items", "b_items").mapInArrow(_checked(self.percent), "a long, b long, both long, either long")
+        links = self.scratch.save(links, label)
+        self.scratch.drop(f"{label}-pairs", f"{label}-sets")
+        release_shuffles(self.spark)
+        return links
 
-    def _postings(self) -> None:
+    def _postings(self) -> DataFrame:
+        """Places in lists of more than one node."""
         postings = self.shapes.select("node", "n", F.posexplode("items").alias("place", "item"))
-        shared = postings.groupBy("item").agg(F.min(F.struct("n", "node", "place")).alias("low"), F.count("*").alias("k")).where("k > 1").select("item", F.col("low.n").alias("m"), F.col("low.node").alias("b"), F.col("low.place").alias("at"))
-        self.postings = self.scratch.save(postings.join(shared, "item"), "postings")
-        release_shuffles(self.spark)
-        wanted = self.postings.select("node").distinct()
-        sets = self.docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_whole_sets(self.size), "node long, items binary")
-        self.sets = self.scratch.save(sets, "sets")
+        shared = postings.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
+        postings = self.scratch.save(postings.join(shared, "item"), "postings")
         release_shuffles(self.spark)
+        return postings
 
     def _pairs(self, of: DataFrame) -> DataFrame:
         """Pairs in a list that lie in different components."""
@@ -226,8 +243,7 @@ class JaccardJoin:
 
     def links(self) -> DataFrame:
         """Every link between different sets: a, b; with both and either (sizes) for links of heavy sets."""
-        self._postings()
-        heavy = self._check(self._pairs(self.postings.withColumn("component", F.col("node"))))
+        heavy = self._check(self._pairs(self._postings().withColumn("component", F.col("node"))), "links")
         subsets = self.shapes.where(F.size("keys") > 0).select("node", "n", F.explode(F.arrays_zip("cs", "keys")).alias("k"))
         other = subsets.select(F.col("node").alias("b"), F.col("n").alias("m"), "k")
         light = subsets.join(other, "k").where("node < b").where(self._need("n", "m") <= F.col("k.cs")).select(F.col("node").alias("a"), "b").distinct()
@@ -235,16 +251,17 @@ class JaccardJoin:
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id, and class_id: the least id among rows with the same set."""
-        self._postings()
+        postings = self._postings()
         light = self.scratch.save(self._light_links(), "light")
-        first = self.scratch.save(self._check(self._may_link(self.postings).select(F.col("node").alias("a"), "b").distinct()).select("a", "b"), "first")
-        release_shuffles(self.spark)
+        low = postings.groupBy("item").agg(F.min(F.struct("n", "node", "place")).alias("low")).select("item", F.col("low.n").alias("m"), F.col("low.node").alias("b"), F.col("low.place").alias("at"))
+        first = self._check(self._may_link(postings.join(low, "item")).select(F.col("node").alias("a"), "b").distinct(), "first").select("a", "b")
         so_far = self.scratch.save(components(first.union(light), self.scratch, "cc1"), "so-far")
-        held = self.postings.select("item", "n", "place", "node").join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        held = postings.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = held.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("item")
         held = self.scratch.save(held.join(mixed, "item"), "held")
-        second = self.scratch.save(self._check(self._pairs(held)).select("a", "b"), "second")
+        self.scratch.drop("postings")
         release_shuffles(self.spark)
+        second = self._check(self._pairs(held), "second").select("a", "b")
         last = components(second.union(first).union(light), self.scratch, "cc2") if second.limit(1).count() else so_far
         return self.members.join(last, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("class_id"))
 
