@@ -39,6 +39,8 @@ SKETCH_ROWS = 1 << 21
 CHECK_COST = 4.0
 MAX_LIGHT = 24
 BITS = 1024
+WIDE_BITS = 16_384
+WIDE_FROM = 800
 
 
 def need(n: int, m: int, percent: int) -> int:
@@ -65,8 +67,8 @@ def boundary(mean_list: float, percent: int) -> int:
     return x
 
 
-def _parity(items: np.ndarray) -> bytes:
-    return np.packbits((np.bincount(items.view(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def _parity(items: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount(items.view(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _signature(items: np.ndarray) -> bytes:
@@ -115,7 +117,7 @@ def _lists(size: int, percent: int, light: int, frequent: tuple[np.ndarray, np.n
         seen: set[bytes] = set()
         for batch in batches:
             for part in T.slices(batch, "text"):
-                rows: list[tuple[bytes, int, np.ndarray, list[int], list[int], bytes]] = []
+                rows: list[tuple[bytes, int, np.ndarray, list[int], list[int], np.ndarray, np.ndarray]] = []
                 sets = list(T.shingle_sets(part.column("text"), size))
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 at = np.minimum(np.searchsorted(items, every), max(0, len(items) - 1))
@@ -135,10 +137,10 @@ def _lists(size: int, percent: int, light: int, frequent: tuple[np.ndarray, np.n
                             for some in combinations(s.tolist(), c):
                                 cs.append(c)
                                 keys.append(xxhash.xxh3_64_intdigest(np.array(some, np.uint64).tobytes()) - (1 << 63))
-                    rows.append((sig, n, first, cs, keys, _parity(s)))
+                    rows.append((sig, n, first, cs, keys, _parity(s, BITS), _parity(s, WIDE_BITS) if n >= WIDE_FROM else first[:0].view(np.int64)))
                 lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate([np.asarray(p, kind) for p in parts]), pa.from_numpy_dtype(kind)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2].view(np.int64) for r in rows], np.int64), lists([r[3] for r in rows], np.int32), lists([r[4] for r in rows], np.int64), lists([np.frombuffer(r[5], np.int64) for r in rows], np.int64)], names=["sig", "n", "items", "cs", "keys", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2].view(np.int64) for r in rows], np.int64), lists([r[3] for r in rows], np.int32), lists([r[4] for r in rows], np.int64), lists([r[5] for r in rows], np.int64), lists([r[6] for r in rows], np.int64)], names=["sig", "n", "items", "cs", "keys", "bits", "wide"])
 
     return run
 
@@ -190,9 +192,9 @@ class JaccardJoin:
         distinct = len(least) if len(least) < 256 else (len(least) - 1) / (float(least.max()) / 2.0**64)
         self.light = boundary(total / max(1.0, distinct), self.percent)
         frequent = (often["item"].to_numpy(), often["n"].to_numpy(np.int64))
-        shapes = self.docs.mapInArrow(_lists(self.size, self.percent, self.light, frequent), "sig binary, n int, items array<bigint>, cs array<int>, keys array<bigint>, bits array<bigint>")
-        one = shapes.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("cs").alias("cs"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-        self.shapes = self.scratch.save(one.join(nodes, "sig").select("node", "n", "items", "cs", "keys", "bits").where("node is not null"), "shapes")
+        shapes = self.docs.mapInArrow(_lists(self.size, self.percent, self.light, frequent), "sig binary, n int, items array<bigint>, cs array<int>, keys array<bigint>, bits array<bigint>, wide array<bigint>")
+        one = shapes.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("cs").alias("cs"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
+        self.shapes = self.scratch.save(one.join(nodes, "sig").select("node", "n", "items", "cs", "keys", "bits", "wide").where("node is not null"), "shapes")
 
     def _light_links(self) -> DataFrame:
         """A subset's least set has every link that the subset gives: all whose sizes need no more than the subset."""
@@ -210,12 +212,17 @@ class JaccardJoin:
         sized = (100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")) & (F.greatest("n", "m") > self.light)
         return pairs.where((F.col("node") != F.col("b")) & sized & (rest >= self._need("n", "m")))
 
+    def _near(self, pairs: DataFrame, bitmap: str) -> DataFrame:
+        """Pairs whose bitmaps allow a link. Small sets have no wide one; zip_with then gives nulls, which count nothing."""
+        side = lambda x: self.shapes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col(bitmap).alias(f"{x}_bits"))
+        bits = F.zip_with("a_bits", "b_bits", lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0)))
+        apart = F.aggregate(bits, F.lit(0), lambda t, x: t + x)
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= F.col("a_n") + F.col("b_n") - 2 * self._need("a_n", "b_n")).select("a", "b")
+
     def _check(self, pairs: DataFrame, label: str) -> DataFrame:
         """Which pairs of nodes are links: by their bitmaps first, and what is left on the whole sets."""
-        bits = lambda x: self.shapes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-        apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        may = pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= F.col("a_n") + F.col("b_n") - 2 * self._need("a_n", "b_n"))
-        may = self.scratch.save(may.select("a", "b").distinct(), f"{label}-pairs")
+        may = self._near(self._near(pairs, "bits"), "wide")
+        may = self.scratch.save(may.distinct(), f"{label}-pairs")
         release_shuffles(self.spark)
         wanted = may.select(F.col("a").alias("doc_id")).union(may.select(F.col("b").alias("doc_id"))).distinct()
         sets = self.scratch.save(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_whole_sets(self.size), "node long, items binary"), f"{label}-sets")
