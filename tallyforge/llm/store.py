@@ -20,11 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows in an Arrow batch: whole texts, so far fewer than Spark's 10,000.
+BATCH_ROWS = 1000
+
+
 class Scratch:
     """A folder of Parquet tables for one run of an operator."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{shared_dir(spark)}/tallyforge/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

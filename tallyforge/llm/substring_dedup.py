@@ -32,6 +32,8 @@ from tallyforge.llm import text as T
 from tallyforge.llm.store import Scratch, release_shuffles
 
 ANCHOR = 8
+PLACES = 1024
+"""A power of two over the number of anchors in a window."""
 
 
 def _unique_texts(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -42,14 +44,27 @@ def _unique_texts(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     return batch.take(pa.array(first[order])), counts[order]
 
 
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` successive values, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        values = np.minimum(values[: len(values) - span], values[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def _runs(w: T.Words, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of the runs of a slice: anchor, row, first window, hash of the whole run, and all windows' hashes with where each run's begin."""
     starts = np.flatnonzero(w.whole(length))
     none = np.zeros(0, np.int64)
     if not len(starts):
         return none.view(np.uint64), none, none, none.view(np.uint64), none.view(np.uint64), np.zeros(1, np.int64)
-    grams = T.rolling(h, ANCHOR)
-    least = np.lib.stride_tricks.sliding_window_view(grams, length - ANCHOR + 1)[starts].argmin(axis=1) + starts
+    # The place, in the low bits, goes with its hash through the minima; equal hashes have one anchor wherever they stand.
+    grams = T.rolling(h, ANCHOR) & ~np.uint64(PLACES - 1)
+    places = np.arange(len(grams), dtype=np.uint64) & np.uint64(PLACES - 1)
+    at = (_sliding_least(grams | places, length - ANCHOR + 1)[starts] & np.uint64(PLACES - 1)).astype(np.int64)
+    least = starts + ((at - starts) & (PLACES - 1))
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
