@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,8 +153,6 @@ def encode(df: DataFrame, model: str, *, text_col: str = "text", out_col: str =
 
 def decode(df: DataFrame, model: str, *, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """All columns and the decoded text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec.of(model)

@@ -177,26 +177,25 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35) -> DataFrame:
     """The same rows and columns, with the duplicate spans cut out of the text; white space between kept words stays."""
-    import pandas as pd
-
     scratch = Scratch(docs.sparkSession, "dedup")
+    at = docs.columns.index(text_col)
+
+    def cut(text: str, spans: list[dict]) -> str:
+        w = T.words(pa.array([text], pa.large_string()))
+        gone = _removed(spans, len(w.starts), length)
+        ends = np.append(w.starts[1:], len(w.data))
+        edge = np.zeros(len(w.data) + 1, np.int64)
+        np.add.at(edge, w.starts[gone], 1)
+        np.add.at(edge, ends[gone], -1)
+        return w.data[np.cumsum(edge[:-1]) == 0].tobytes().decode("utf-8")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(texts, spans):
-            if own is None:
-                out.append(t)
-                continue
-            w = T.words(pa.array([t]))
-            gone = _removed(list(own), len(w.starts), length)
-            ends = np.append(w.starts[1:], len(w.data))
-            keep = np.ones(len(w.data), bool)
-            for a, b in zip(w.starts[gone].tolist(), ends[gone].tolist()):
-                keep[a:b] = False
-            out.append(w.data[keep].tobytes().decode("utf-8"))
-        return pd.Series(out)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1)
+            texts = [t.as_py() if not s.is_valid else cut(t.as_py(), s.as_py()) for t, s in zip(batch.column(at), spans)]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, length=length, scratch=scratch)
-    rows = _with_spans(docs, text_col, spans, scratch)
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))).drop("__spans")
+    return _with_spans(docs, text_col, spans, scratch).select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
