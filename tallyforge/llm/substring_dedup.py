@@ -55,11 +55,11 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(w: T.Words, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of the runs of a slice: anchor, row, first window, hash of the whole run, and all windows' hashes with where each run's begin."""
+    """Of the runs of a slice: anchor, row, first window, hash of the whole run, and number of windows."""
     starts = np.flatnonzero(w.whole(length))
     none = np.zeros(0, np.int64)
     if not len(starts):
-        return none.view(np.uint64), none, none, none.view(np.uint64), none.view(np.uint64), np.zeros(1, np.int64)
+        return none.view(np.uint64), none, none, none.view(np.uint64), none
     # The place, in the low bits, goes with its hash through the minima; equal hashes have one anchor wherever they stand.
     grams = T.rolling(h, ANCHOR) & ~np.uint64(PLACES - 1)
     places = np.arange(len(grams), dtype=np.uint64) & np.uint64(PLACES - 1)
@@ -74,7 +74,7 @@ def _runs(w: T.Words, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     np.cumsum(h * T._power(T._BASE, len(h)), out=total[1:])
     whole = T.mix((total[stop] - total[first]) * T._power(T._BASE_INVERSE, len(h) + 1)[first] + (stop - first).astype(np.uint64))
     rows = np.searchsorted(w.first, first, "right") - 1
-    return grams[least[at]], rows, first - w.first[rows], whole, T.rolling(h, length)[starts], np.append(at, len(starts))
+    return grams[least[at]], rows, first - w.first[rows], whole, ends - at
 
 
 def _anchor_counts(length: int):
@@ -101,35 +101,62 @@ def _run_rows(length: int):
             at = 0
             for part in T.slices(batch, "text"):
                 w = T.words(part.column("text"))
-                anchors, rows, first, whole, windows, ends = _runs(w, w.hashes(), length)
+                anchors, rows, first, whole, windows = _runs(w, w.hashes(), length)
                 pick = pa.array(rows)
                 columns = [pa.array(anchors.view(np.int64)), pa.array(whole.view(np.int64)), *(part.column(c).take(pick) for c in ("doc_id", "th", "tl")), pa.array(first.astype(np.int32)), pa.array(copies[at : at + part.num_rows][rows].astype(np.int32))]
-                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(windows.view(np.int64))))
+                columns.append(pa.array(windows.astype(np.int32)))
                 at += part.num_rows
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "whole", "doc_id", "th", "tl", "first", "copies", "windows"])
 
     return run
 
 
+def _windows(length: int):
+    """Each window of the runs that a text is to open."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                w = T.words(part.column("text"))
+                hashes = T.rolling(w.hashes(), length)
+                rows, starts, counts = [], [], []
+                for i, runs in enumerate(part.column("runs").to_pylist()):
+                    for r in runs:
+                        starts.append(np.arange(r["first"], r["first"] + r["windows"]))
+                        rows.append(np.full(r["windows"], i))
+                        counts.append(np.full(r["windows"], r["k"]))
+                if rows:
+                    rows, starts = np.concatenate(rows), np.concatenate(starts)
+                    pick = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[w.first[rows] + starts].view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64)), *(part.column(c).take(pick) for c in ("doc_id", "th", "tl")), pa.array(starts.astype(np.int32))], names=["window", "k", "doc_id", "th", "tl", "start"])
+
+    return run
+
+
 def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, scratch: Scratch | None = None) -> DataFrame:
     """Factors: th, tl (hash and bytes of the text), start (its first word), windows (words less ``length`` - 1), source_id, source_start."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "dedup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.octet_length(text_col).cast("bigint").alias("tl"), F.col(text_col).alias("text")).where("text is not null")
     shared = texts.select("th", "tl", "text").mapInArrow(_anchor_counts(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    rows = texts.mapInArrow(_run_rows(length), "anchor long, whole long, doc_id long, th long, tl long, first int, copies int, windows array<bigint>")
+    rows = texts.mapInArrow(_run_rows(length), "anchor long, whole long, doc_id long, th long, tl long, first int, copies int, windows int")
     found = scratch.save(rows.join(shared, "anchor"), "runs")
     release_shuffles(spark)
 
     place = F.struct("doc_id", "th", "tl", "first")
     runs = found.groupBy("anchor", "whole").agg(F.sum("copies").alias("k"), F.min(place).alias("source"))
-    mixed = runs.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    # A run is opened where its anchor has another run; a copied one only at its source, for others to find.
+    mixed = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     found = found.join(runs, ["anchor", "whole"])
-    wholes = found.where("k > 1").select("th", "tl", F.col("first").alias("start"), F.size("windows").alias("windows"), F.col("source.doc_id").alias("source_id"), F.col("source.first").alias("source_start"))
-    sources = found.where(F.expr("struct(doc_id, th, tl, first)").eqNullSafe(F.col("source"))).join(mixed.where("kinds > 1").select("anchor"), "anchor")
-    opened = sources.select("k", "doc_id", "th", "tl", "first", F.posexplode("windows").alias("i", "window")).select("window", "k", "doc_id", "th", "tl", (F.col("first") + F.col("i")).alias("start"))
+    wholes = scratch.save(found.where("k > 1").select("th", "tl", F.col("first").alias("start"), "windows", F.col("source.doc_id").alias("source_id"), F.col("source.first").alias("source_start")), "wholes")
+    release_shuffles(spark)
+    # A run is opened where its anchor has another run; a copied one only at its source, for others to find.
+    sources = found.where(F.expr("struct(doc_id, th, tl, first)").eqNullSafe(F.col("source"))).join(mixed, "anchor")
+    wanted = scratch.save(sources.groupBy("doc_id", "th", "tl").agg(F.collect_set(F.struct("first", "windows", "k")).alias("runs")), "wanted")
+    release_shuffles(spark)
+    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"]) & (texts["tl"] == wanted["tl"])
+    opened = texts.join(wanted, same).select(texts["doc_id"], texts["th"], texts["tl"], "text", "runs").mapInArrow(_windows(length), "window long, k long, doc_id long, th long, tl long, start int")
     opened = scratch.save(opened.dropDuplicates(["window", "doc_id", "th", "tl", "start"]), "windows")
+    scratch.drop("runs", "wanted")
     release_shuffles(spark)
     repeated = opened.groupBy("window").agg(F.sum("k").alias("n"), F.min(F.struct("doc_id", "start")).alias("source")).where("n > 1")
     single = opened.where("k = 1").join(repeated.select("window", "source"), "window").select("th", "tl", "start", F.lit(1).alias("windows"), F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
