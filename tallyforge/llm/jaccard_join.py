@@ -7,12 +7,13 @@ shingles), and the pairs that sizes, places in the lists and parity bitmaps allo
 set, bit b of its bitmap is the parity of its shingles with hash b, so sets differ in at least as many shingles as their
 bitmaps in bits.) The boundary is the largest size at which putting out subsets costs less than scanning lists, given the corpus's mean list.
 
-Equal sets are one node from the start. In a list all nodes are first checked against its least node; afterwards
-only pairs that lie in different components so far are checked, so a large group of near copies costs about one
-check for each member, and no link that would join two components is missed.
+Equal sets are one node from the start. In a list all nodes are first checked against one of them; afterwards
+only pairs that lie in different components so far are checked, so a large group of near copies costs a few
+checks for each member, and no link that would join two components is missed.
 
-The order of shingles is free for right results. Frequent ones come last; they are found with a frequency sketch
-over all documents whose size is bounded (``FREQUENT`` entries), and that list alone is broadcast.
+The order of shingles is free for right results. It goes by their counts in a sketch of ``SKETCH`` cells that is summed
+over all documents, so rare ones come first; the sketch, a byte for each cell (the logarithm of its count), is all that
+is broadcast, and its size doesn't depend on the corpus.
 
 Null and empty texts and texts without words have an empty set and no link. Rows with equal ids are one node.
 Columns other than the two named are ignored. A text of any length is taken whole. An empty table gives none.
@@ -27,6 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,13 @@ from tallyforge.llm import text as T
 from tallyforge.llm.components import components
 from tallyforge.llm.store import Scratch, release_shuffles
 
-FREQUENT = 1 << 17
-SKETCH_ROWS = 1 << 21
+SKETCH = 1 << 24
+SLICE = 1 << 16
+SKETCH_ROWS = 1 << 20
 CHECK_COST = 4.0
 MAX_LIGHT = 24
+LONG = 512
+GROUP_ROWS = 8192
 BITS = 1024
 WIDE_BITS = 16_384
 WIDE_FROM = 800
@@ -76,52 +81,65 @@ def _signature(items: np.ndarray) -> bytes:
 
 
 def _survey(size: int, kmv: int = 256):
-    """Each row's signature and set size; with them frequent shingles and a sketch of the number of distinct ones."""
+    """Each row's signature and set size; with them a task's sketch by slices, and its least shingles, which tell how many distinct ones there are."""
+
+    def rows(kind: int, length: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"doc_id": pa.int64(), "sig": pa.binary(), "n": pa.int64(), "item": pa.int64(), "cells": pa.binary()}
+        return pa.RecordBatch.from_arrays([*(columns.get(k, pa.nulls(length, t)) for k, t in kinds.items()), pa.array(np.full(length, kind, np.int32))], names=[*kinds, "kind"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        total, least = 0, np.zeros(0, np.uint64)
+        total, least, sketch = 0, np.zeros(0, np.uint64), np.zeros(SKETCH, np.uint32)
 
-        def counted() -> pa.RecordBatch:
-            items, counts = np.unique(np.concatenate(held), return_counts=True)
-            nonlocal least
-            least = np.unique(np.concatenate([least, items[:kmv]]))[:kmv]
-            keep = counts >= max(4, total >> 16)
-            items, counts = items[keep], counts[keep]
-            n = len(items)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(items.view(np.int64)), pa.array(np.full(n, 1, np.int32))], names=["doc_id", "sig", "n", "item", "kind"])
+        def count() -> np.ndarray:
+            every = np.concatenate(held)
+            cells, counts = np.unique((every & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
+            sketch[cells] += counts.astype(np.uint32)
+            return np.unique(np.concatenate([least, np.partition(every, min(kmv, len(every) - 1))[:kmv]]))[:kmv] if len(every) else least
 
         for batch in batches:
             for part in T.slices(batch, "text"):
                 sets = list(T.shingle_sets(part.column("text"), size))
-                n = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int32))], names=["doc_id", "sig", "n", "item", "kind"])
+                yield rows(0, len(sets), doc_id=part.column(0), sig=pa.array([_signature(s) for s in sets], pa.binary()), n=pa.array([len(s) for s in sets], pa.int64()))
                 held += sets
                 total += sum(map(len, sets))
                 if total >= SKETCH_ROWS:
-                    yield counted()
+                    least = count()
                     held, total = [], 0
         if held:
-            yield counted()
-        n = len(least)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(least.view(np.int64)), pa.array(np.full(n, 2, np.int32))], names=["doc_id", "sig", "n", "item", "kind"])
+            least = count()
+        yield rows(2, len(least), item=pa.array(least.view(np.int64)))
+        for at in range(0, SKETCH, SLICE):
+            own = sketch[at : at + SLICE]
+            if own.any():
+                yield rows(1, 1, item=pa.array([at // SLICE]), cells=pa.array([_pressed(own)], pa.binary()))
 
     return run
 
 
-def _lists(size: int, percent: int, light: int, frequent: tuple[np.ndarray, np.ndarray]):
-    """For each set that a task hasn't had yet, its prefix, rarest first, or its subsets, or both."""
-    items, counts = frequent
+def _pressed(cells: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(cells.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """A slice of the sketch over all tasks, as logarithms."""
+    total = np.zeros(SLICE, np.int64)
+    for raw in table["cells"].to_pylist():
+        total += np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+    return pa.table({"item": table["item"][:1], "cells": pa.array([np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())})
 
+
+def _lists(size: int, percent: int, light: int, sent):
+    """For each set that a task hasn't had yet, its prefix, rarest first, or its subsets, or both."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        sketch = sent.value
         for batch in batches:
             for part in T.slices(batch, "text"):
                 rows: list[tuple[bytes, int, np.ndarray, list[int], list[int], np.ndarray, np.ndarray]] = []
                 sets = list(T.shingle_sets(part.column("text"), size))
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                at = np.minimum(np.searchsorted(items, every), max(0, len(items) - 1))
-                often = np.where(items[at] == every, counts[at], 0) if len(items) else np.zeros(len(every), np.int64)
+                often = sketch[every & np.uint64(SKETCH - 1)]
                 end = 0
                 for s in sets:
                     end, count = end + len(s), often[end : end + len(s)]
@@ -131,7 +149,7 @@ def _lists(size: int, percent: int, light: int, frequent: tuple[np.ndarray, np.n
                     seen.add(sig)
                     n, first, cs, keys = len(s), s[:0], [], []
                     if n > light or 100 * n >= percent * (light + 1):
-                        first = (s[np.lexsort((s, count))] if count.any() else s)[: prefix(n, percent)]
+                        first = s[np.lexsort((s, count))][: prefix(n, percent)]
                     if n <= light:
                         for c in overlaps(n, percent):
                             for some in combinations(s.tolist(), c):
@@ -155,6 +173,33 @@ def _whole_sets(size: int):
     return run
 
 
+def _compared(percent: int, light: int):
+    """Which rows of a list may be links. Rows of blocks (``own`` of 0 or more) are compared only with those of another."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("item", "ascending"), ("n", "ascending")])
+        item, n, place, node, component, own = (table[c].to_numpy().astype(np.int64) for c in ("item", "n", "place", "node", "component", "own"))
+        bits = np.asarray(table["bits"].combine_chunks().flatten(), np.int64).view(np.uint64).reshape(len(item), -1)
+        ends = np.searchsorted(item, item, "right")
+        at, found = np.arange(len(item)), []
+        for step in range(1, len(item)):
+            at = at[at + step < ends[at]]
+            # Sizes ascend within a list, so a row whose partner is too large has none further on.
+            at = at[100 * n[at] >= percent * n[at + step]]
+            if not len(at):
+                break
+            x, y = at, at + step
+            least = -(-percent * (n[x] + n[y]) // (100 + percent))
+            ok = (component[x] != component[y]) & (n[y] > light) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= least) & ((own[x] < 0) | (own[x] != own[y]))
+            x, y, least = x[ok], y[ok], least[ok]
+            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * least
+            found.append(np.column_stack([np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])]))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
 def _checked(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,18 +226,19 @@ class JaccardJoin:
         self._prepare()
 
     def _prepare(self) -> None:
-        survey = self.scratch.save(self.docs.mapInArrow(_survey(self.size), "doc_id long, sig binary, n long, item long, kind int"), "survey")
+        survey = self.scratch.save(self.docs.mapInArrow(_survey(self.size), "doc_id long, sig binary, n long, item long, cells binary, kind int"), "survey")
         rows = survey.where("kind = 0")
         nodes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node"))
         self.members = rows.select("doc_id", "n", "sig").join(nodes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
-        often = survey.where("kind = 1").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(FREQUENT).toPandas()
-        often = often.assign(item=often["item"].to_numpy(np.int64).view(np.uint64)).sort_values("item")
+        sketch = np.zeros(SKETCH, np.uint8)
+        for r in survey.where("kind = 1").select("item", "cells").groupBy("item").applyInArrow(_summed, "item long, cells binary").collect():  # SKETCH bytes
+            sketch[r["item"] * SLICE : (r["item"] + 1) * SLICE] = np.frombuffer(r["cells"], np.uint8)
+        sent = self.spark.sparkContext.broadcast(sketch)
         least = survey.where("kind = 2").select("item").distinct().orderBy(F.when(F.col("item") < 0, 1).otherwise(0), "item").limit(256).toPandas()["item"].to_numpy(np.int64).view(np.uint64)
         total = rows.agg(F.sum("n")).first()[0] or 0
         distinct = len(least) if len(least) < 256 else (len(least) - 1) / (float(least.max()) / 2.0**64)
         self.light = boundary(total / max(1.0, distinct), self.percent)
-        frequent = (often["item"].to_numpy(), often["n"].to_numpy(np.int64))
-        shapes = self.docs.mapInArrow(_lists(self.size, self.percent, self.light, frequent), "sig binary, n int, items array<bigint>, cs array<int>, keys array<bigint>, bits array<bigint>, wide array<bigint>")
+        shapes = self.docs.mapInArrow(_lists(self.size, self.percent, self.light, sent), "sig binary, n int, items array<bigint>, cs array<int>, keys array<bigint>, bits array<bigint>, wide array<bigint>")
         one = shapes.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("cs").alias("cs"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
         self.shapes = self.scratch.save(one.join(nodes, "sig").select("node", "n", "items", "cs", "keys", "bits", "wide").where("node is not null"), "shapes")
 
@@ -221,7 +267,7 @@ class JaccardJoin:
 
     def _check(self, pairs: DataFrame, label: str) -> DataFrame:
         """Which pairs of nodes are links: by their bitmaps first, and what is left on the whole sets."""
-        may = self._near(self._near(pairs, "bits"), "wide")
+        may = self._near(pairs, "wide")
         may = self.scratch.save(may.distinct(), f"{label}-pairs")
         release_shuffles(self.spark)
         wanted = may.select(F.col("a").alias("doc_id")).union(may.select(F.col("b").alias("doc_id"))).distinct()
@@ -243,10 +289,28 @@ class JaccardJoin:
         return postings
 
     def _pairs(self, of: DataFrame) -> DataFrame:
-        """Pairs in a list that lie in different components."""
-        left = of.select("item", "n", "place", "node", "component")
-        right = of.select("item", F.col("n").alias("m"), F.col("place").alias("at"), F.col("node").alias("b"), F.col("component").alias("other"))
-        return self._may_link(left.join(right, "item").where("component <> other and (n < m or n = m and node < b)")).select(F.col("node").alias("a"), "b").distinct()
+        """Pairs in a list that lie in different components and that sizes, places and bitmaps allow.
+
+        Short lists are dealt to groups of about ``GROUP_ROWS`` rows; a long one is cut into blocks, each pair of which
+        is a group. A group gives only the pairs that are left.
+        """
+        sizes = of.groupBy("item").agg(F.count("*").alias("k"))
+        rows = of.select("item", "n", "place", "node", "component").join(sizes, "item").join(self.shapes.select("node", "bits"), "node")
+        count = of.count()
+        blocks = F.ceil(F.col("k") / LONG).cast("int")
+        short = rows.where(F.col("k") <= LONG).withColumn("group", F.pmod(F.xxhash64("item"), F.lit(max(1, -(-count // GROUP_ROWS)))))
+        long = rows.where(F.col("k") > LONG).withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "blocks": blocks})
+        long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        long = long.withColumn("group", F.xxhash64("item", F.least("own", "other"), F.greatest("own", "other"))).withColumn("own", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
+        columns = ["group", "item", "n", "place", "node", "component", "bits"]
+        every = short.select(*columns, F.lit(-1).alias("own")).union(long.select(*columns, "own"))
+        return every.groupBy("group").applyInArrow(_compared(self.percent, self.light), "a long, b long").distinct()
+
+    def _mixed(self, held: DataFrame, found: DataFrame, label: str) -> DataFrame:
+        """Places in lists whose nodes lie in more than one component."""
+        held = held.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = held.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("item")
+        return self.scratch.save(held.join(mixed, "item"), label)
 
     def links(self) -> DataFrame:
         """Every link between different sets: a, b; with both and either (sizes) for links of heavy sets."""
@@ -260,16 +324,22 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id, and class_id: the least id among rows with the same set."""
         postings = self._postings()
         light = self.scratch.save(self._light_links(), "light")
-        low = postings.groupBy("item").agg(F.min(F.struct("n", "node", "place")).alias("low")).select("item", F.col("low.n").alias("m"), F.col("low.node").alias("b"), F.col("low.place").alias("at"))
-        first = self._check(self._may_link(postings.join(low, "item")).select(F.col("node").alias("a"), "b").distinct(), "first").select("a", "b")
-        so_far = self.scratch.save(components(first.union(light), self.scratch, "cc1"), "so-far")
-        held = postings.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = held.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("item")
-        held = self.scratch.save(held.join(mixed, "item"), "held")
+        links, found = light, self.scratch.save(components(light, self.scratch, "cc"), "components")
+        held = postings.withColumn("component", F.col("node"))
+        # In each list all are checked against one node: that of the rarest rest first, then two by chance.
+        for i, order in enumerate((F.col("place"), F.xxhash64("node"), F.xxhash64("node", F.lit(1)))):
+            low = held.groupBy("item").agg(F.min(F.struct(order.alias("order"), "node", "n", "place", "component")).alias("low"))
+            low = low.select("item", F.col("low.n").alias("m"), F.col("low.node").alias("b"), F.col("low.place").alias("at"), F.col("low.component").alias("other"))
+            pairs = self._may_link(held.join(low, "item").where("component <> other")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            links = links.union(self._check(self._near(pairs, "bits"), f"star-{i}").select("a", "b"))
+            found = self.scratch.save(components(links, self.scratch, f"cc-{i}"), f"components-{i}")
+            held = self._mixed(held, found, f"held-{i}")
+            release_shuffles(self.spark)
+            if held.isEmpty():
+                break
         self.scratch.drop("postings")
-        release_shuffles(self.spark)
-        second = self._check(self._pairs(held), "second").select("a", "b")
-        last = components(second.union(first).union(light), self.scratch, "cc2") if second.limit(1).count() else so_far
+        rest = self._check(self._pairs(held), "rest").select("a", "b")
+        last = found if rest.isEmpty() else components(links.union(rest), self.scratch, "cc-rest")
         return self.members.join(last, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("class_id"))
 
 
