@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm.store import Scratch
 
@@ -80,7 +81,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm import lm_scoring
 
-    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+    scores = lm_scoring.scores(table(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})  # sums in any order
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kd_sharding, op3_pivot_top_k, op4_sentencepiece, op5_html_extraction, op6_substring_dedup, op7_token_output, op8_quality_classifier, op9_decontamination, op10_lm_scoring)}
@@ -119,4 +121,18 @@ ORACLE_SQL: dict[str, str] = {
         kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS x, count(*) AS n FROM v ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op10_lm_scoring": f"""
+        WITH w AS (SELECT doc_id, coalesce({_LOWER_WORDS}, []) AS w FROM documents),
+        t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        g AS (SELECT doc_id, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM t),
+        c1 AS (SELECT a, count(*) AS n1 FROM g GROUP BY a), c2 AS (SELECT b, a, count(*) AS n2 FROM g WHERE b IS NOT NULL GROUP BY b, a),
+        c3 AS (SELECT c, b, a, count(*) AS n3 FROM g WHERE c IS NOT NULL GROUP BY c, b, a),
+        n AS (SELECT g.*, n1, h1.m1, n2, h2.m2, n3 FROM g JOIN c1 USING (a) LEFT JOIN c2 USING (b, a) LEFT JOIN c3 USING (c, b, a)
+              LEFT JOIN (SELECT a AS b, n1 AS m1 FROM c1) h1 USING (b) LEFT JOIN (SELECT b AS c, a AS b, n2 AS m2 FROM c2) h2 USING (c, b)),
+        s1 AS (SELECT *, ln(n1 / (SELECT count(*) FROM g)) AS s1 FROM n),
+        s2 AS (SELECT *, CASE WHEN b IS NULL THEN s1 WHEN n2 >= 2 THEN ln(n2 / m1) ELSE s1 + ln(0.4) END AS s2 FROM s1),
+        s3 AS (SELECT doc_id, CASE WHEN c IS NULL THEN s2 WHEN n3 >= 2 THEN ln(n3 / m2) ELSE s2 + ln(0.4) END AS s3 FROM s2),
+        d AS (SELECT doc_id, sum(s3) AS s FROM s3 GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS log_score, round(coalesce(s, 0) / greatest(1, len(w)), 6) AS mean_log_score
+        FROM w LEFT JOIN d USING (doc_id)""",
 }
