@@ -125,14 +125,21 @@ class Representativeness(MetricProcessor):
                 out[r["selection"], r["column"]][r["b"]] = r["count"]
         return out
 
+    def _sampled(self, rows: DataFrame) -> DataFrame:
+        """REP-10: values of the least hashes. Each partition gives no more than a whole sample before they meet."""
+        ks, by = self.config.ks, ["selection", "column"]
+        size = F.least(F.lit(ks.sample_size), F.greatest(F.lit(ks.min_sample_size), (F.col("n") / ks.sample_divisor).cast("int")))
+        sizes = rows.groupBy(*by).agg(F.count("v").alias("n")).select(*by, size.alias("__size"))
+        near = rows.withColumns({"__h": F.xxhash64("v", F.monotonically_increasing_id(), F.lit(self.seed)), "__part": F.spark_partition_id()})
+        near = near.withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "__part").orderBy("__h"))).where(F.col("__rank") <= ks.sample_size)
+        near = near.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy("__h"))).join(sizes, by)
+        return near.where("__rank <= __size").select("selection", "column", "v")
+
     def distances(self, df: DataFrame, params: dict[Key, dict[str, float]], exact: bool) -> dict[Key, tuple[float, int]]:
         """REP-10, REP-11: the KS distance and the number of values of each selection and column."""
         rows = self._long(df)
         if not exact:
-            ks = self.config.ks
-            size = F.least(F.lit(ks.sample_size), F.greatest(F.lit(ks.min_sample_size), (F.count("v").over(Window.partitionBy("selection", "column")) / ks.sample_divisor).cast("int")))
-            rank = F.row_number().over(Window.partitionBy("selection", "column").orderBy(F.xxhash64("v", F.monotonically_increasing_id(), F.lit(self.seed))))
-            rows = rows.withColumn("__size", size).withColumn("__rank", rank).where("__rank <= __size").drop("__size", "__rank")
+            rows = self._sampled(rows)
         spark = df.sparkSession
         if not params:
             return {}

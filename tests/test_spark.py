@@ -189,3 +189,11 @@ def test_queries_against_sql(spark, name):
     got = queries.QUERIES[name](spark, DATA)
     assert sorted(got.columns) == names
     assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == want
+
+
+def test_sampled_distance_is_near(spark):
+    rng = np.random.default_rng(9)
+    df = job.tagged(spark.createDataFrame([(float(x),) for x in rng.uniform(0, 1, 5000)], "x double").repartition(7), "d")
+    p = Representativeness({"name": "r", "columns": {"input": ["x"]}, "distribution": "uniform", "metrics": ["kolmogorov-smirnov"], "mean_std_estimation": "from_all_data", "ks": {"exact": False, "sample_size": 200}})
+    row = one(p.compute(df))
+    assert row["x_kolmogorov-smirnov_sample_size"] == 200 and row["x_kolmogorov-smirnov_statistic"] < 0.15 and row["x_kolmogorov-smirnov_note"] == "approximated_from_random_samples"
