@@ -139,13 +139,16 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = scratch or Scratch(spark, "dedup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.octet_length(text_col).cast("bigint").alias("tl"), F.col(text_col).alias("text")).where("text is not null")
     shared = texts.select("th", "tl", "text").mapInArrow(_anchor_counts(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    shared = scratch.save(shared, "anchors")  # aggregates are written before they are joined: only a plain join's hot keys can be split
     rows = texts.mapInArrow(_run_rows(length), "anchor long, whole long, doc_id long, th long, tl long, first int, copies int, windows int")
     found = scratch.save(rows.join(shared, "anchor"), "runs")
     release_shuffles(spark)
 
     place = F.struct("doc_id", "th", "tl", "first")
-    runs = found.groupBy("anchor", "whole").agg(F.sum("copies").alias("k"), F.min(place).alias("source"))
+    runs = scratch.save(found.groupBy("anchor", "whole").agg(F.sum("copies").alias("k"), F.min(place).alias("source")), "sources")
     mixed = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = scratch.save(mixed, "mixed")
+    release_shuffles(spark)
     found = found.join(runs, ["anchor", "whole"])
     wholes = scratch.save(found.where("k > 1").select("th", "tl", F.col("first").alias("start"), "windows", F.col("source.doc_id").alias("source_id"), F.col("source.first").alias("source_start")), "wholes")
     release_shuffles(spark)
@@ -156,9 +159,11 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"]) & (texts["tl"] == wanted["tl"])
     opened = texts.join(wanted, same).select(texts["doc_id"], texts["th"], texts["tl"], "text", "runs").mapInArrow(_windows(length), "window long, k long, doc_id long, th long, tl long, start int")
     opened = scratch.save(opened.dropDuplicates(["window", "doc_id", "th", "tl", "start"]), "windows")
-    scratch.drop("runs", "wanted")
+    scratch.drop("anchors", "runs", "sources", "mixed", "wanted")
     release_shuffles(spark)
     repeated = opened.groupBy("window").agg(F.sum("k").alias("n"), F.min(F.struct("doc_id", "start")).alias("source")).where("n > 1")
+    repeated = scratch.save(repeated, "repeated")
+    release_shuffles(spark)
     single = opened.where("k = 1").join(repeated.select("window", "source"), "window").select("th", "tl", "start", F.lit(1).alias("windows"), F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
     return wholes.union(single)
 
