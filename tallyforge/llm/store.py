@@ -5,7 +5,9 @@ Executors may be lost at any time, so a lineage is cut with tables written there
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows in an Arrow batch: whole texts, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
+CLEANING_S = 0.5
 
 
 class Scratch:
@@ -49,8 +52,7 @@ class Scratch:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of DataFrames that are gone (it acts when the JVM collects garbage)."""
-    import gc
-
+    """Lets Spark's cleaner delete shuffle files of DataFrames that are gone: it acts when the JVM has collected garbage, in a thread of its own, which gets a moment."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(CLEANING_S)
