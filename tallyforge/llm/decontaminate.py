@@ -1,16 +1,15 @@
 """Passages of a benchmark in documents, up to a share of edits.
 
-A document holds an item if one of its windows with as many words as the item has a word edit distance (insert,
-delete, replace) of at most ``floor(edits * words)`` from it. A document with fewer words is one window. Case of A-Z
-and of Latin-1 letters is ignored, and all ASCII signs that are neither letters nor digits only part words.
+A document holds an item if a stretch of it, of any length, has a word edit distance (insert, delete, replace) of at
+most ``floor(edits * words)`` from the item. That is with ``free_ends``, as op9 and the pipeline have it; without, only
+stretches of as many words as the item count (or the whole of a shorter document), so a word dropped from or added to
+a copy counts about twice. Case of A-Z and of Latin-1 letters is ignored, and all ASCII signs that are neither letters
+nor digits only part words.
 
-An item cut into one part more than the edits it allows has a part that stands in the window unchanged, so windows are
+An item cut into one part more than the edits it allows has a part that stands in a passage unchanged, so passages are
 looked for around runs of ``q`` words that stand in an item too (``q``: the shortest such part). This leaves few
-windows and loses none. Each is embedded by CGK random walks: at each step the walk puts out the symbol that it
-stands on and goes on if a random bit of that symbol and step says so, which turns edits into a Hamming distance. Of a
-walk ``SAMPLED`` places are drawn and hashed; a window whose hash is the item's in one of ``repeats`` walks is
-checked by the exact edit distance. ``repeats`` follows from the recall aimed at and from how often places agree in
-walks of the items themselves with as many random edits as they allow.
+stretches and loses none. One that has all but the allowed number of the item's words goes through the exact edit
+distance with both ends free. No step draws samples, so none is missed, whatever the items' lengths.
 
 The benchmark is sent to the executors in parts of at most ``ITEMS`` items and ``ITEM_WORDS`` words (a longer item is
 alone), each with a pass of its own over the documents. Items that are null or have under ``min_words`` words are
@@ -31,6 +30,7 @@ from tallyforge.llm import text as T
 
 ITEMS = 20_000
 ITEM_WORDS = 1_000_000
+PAIRS = 1 << 20
 SAMPLED = 2
 MAX_REPEATS = 200
 
@@ -52,6 +52,23 @@ def symbols(column: pa.Array) -> tuple[T.Words, np.ndarray]:
     return w, w.hashes()
 
 
+def passages(item: np.ndarray, words: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """Edits, start and end of the best stretch of ``words`` at each end that has one with at most ``most`` edits."""
+    m = len(words)
+    one = np.int64(1) << np.int64(32)
+    row = np.arange(m, -1, -1)  # edits, and in the low 32 bits how far from the end the stretch starts: the shortest of equal ones
+    steps = np.arange(m + 1) * one
+    for i in range(len(item)):
+        new = np.empty(m + 1, np.int64)
+        new[0] = (i + 1) * one + m
+        new[1:] = np.minimum(row[:-1] + (words != item[i]) * one, row[1:] + one)
+        row = np.minimum.accumulate(new - steps) + steps
+        if row.min() >> 32 > most:
+            return
+    for end in np.flatnonzero(row >> 32 <= most).tolist():
+        yield int(row[end] >> 32), m - int(row[end] & (one - 1)), end
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance, or ``most + 1`` if it is larger."""
     n, m = len(a), len(b)
@@ -104,13 +121,14 @@ class Index:
     ids: np.ndarray
     items: list[np.ndarray]
     most: list[int]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    """By q: sorted hashes, each one's item and place, and a table of the hashes' low bits."""
+    free_ends: bool
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    """By q: sorted hashes, each one's item, first and last place in it, and a table of the hashes' low bits."""
     walks: Walks
     keys: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str], edits: float, min_words: int, recall: float) -> Index | None:
+    def of(cls, ids: list[int], texts: list[str], edits: float, min_words: int, recall: float, free_ends: bool) -> Index | None:
         w, h = symbols(pa.array(texts, pa.string()))
         own = [(i, h[a:b]) for i, a, b in zip(ids, w.first[:-1].tolist(), w.first[1:].tolist()) if b - a >= min_words]
         if not own:
@@ -129,10 +147,12 @@ class Index:
             hashes = np.concatenate(grams)
             of = np.concatenate([np.full(len(g), k) for g, k in zip(grams, ks)])
             place = np.concatenate([np.arange(len(g)) for g in grams])
-            order = np.argsort(hashes, kind="stable")
+            order = np.lexsort((place, of, hashes))
+            hashes, of, place = hashes[order], of[order], place[order]
+            begins = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])))
             bits = np.zeros(1 << min(24, max(16, (64 * len(hashes)).bit_length())), bool)
             bits[hashes & np.uint64(len(bits) - 1)] = True
-            seeds[q] = (hashes[order], of[order], place[order], bits)
+            seeds[q] = (hashes[begins], of[begins], place[begins], place[np.append(begins[1:], len(place)) - 1], bits)
         repeats = cls._repeats(items, most, recall)
         walks = Walks(max(map(len, items)), repeats)
         keys = np.zeros((len(items), repeats), np.uint64)
@@ -142,7 +162,7 @@ class Index:
             stacked = np.array([items[k] for k in same.tolist()], np.uint64)
             for r in range(repeats):
                 keys[same, r] = walks.key(r, stacked, n)
-        return cls(np.array([i for i, _ in own]), items, most, seeds, walks, keys)
+        return cls(np.array([i for i, _ in own]), items, most, free_ends, seeds, walks, keys)
 
     @staticmethod
     def _repeats(items: list[np.ndarray], most: list[int], recall: float, tries: int = 64) -> int:
@@ -167,61 +187,65 @@ class Index:
         p = max(0.02, float(np.quantile(agree, 0.05)))
         return int(min(MAX_REPEATS, max(8, np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.99))))))
 
-    def near(self, first: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """Windows to check for documents of words ``h``: row, item, start (in ``h``)."""
-        found: set[tuple[int, int, int]] = set()
-        for q, (hashes, of, place, bits) in self.seeds.items():
+    def near(self, first: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Stretches of documents of words ``h`` that hold all their passages: row, item, from and to (in ``h``)."""
+        sizes, most = np.array([len(x) for x in self.items]), np.array(self.most)
+        for q, (hashes, of, low_place, high_place, bits) in self.seeds.items():
             grams = T.rolling(h, q)
             hit = np.flatnonzero(bits[grams & np.uint64(len(bits) - 1)])
-            if not len(hit):
-                continue
             low, high = np.searchsorted(hashes, grams[hit], "left"), np.searchsorted(hashes, grams[hit], "right")
             rows = np.searchsorted(first, hit, "right") - 1
-            for p, a, b, row in zip(hit.tolist(), low.tolist(), high.tolist(), rows.tolist()):
-                if a == b or p + q > first[row + 1]:
-                    continue
-                for s in range(a, b):
-                    k = int(of[s])
-                    n, e, start = len(self.items[k]), self.most[k], p - int(place[s])
-                    last = max(first[row], first[row + 1] - n)
-                    for at in range(max(first[row], min(start - e, last)), min(start + e, last) + 1):
-                        found.add((row, k, int(at)))
-        return sorted(found)
-
-    def matches(self, first: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """row, item, start in the row, edits: of windows that overlap, the best and then the first."""
-        windows = self.near(first, h)
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for row, k, at in windows:
-            by_item.setdefault(k, []).append((row, at))
-        out: list[tuple[int, int, int, int]] = []
-        for k, places in by_item.items():
-            item, n, e = self.items[k], len(self.items[k]), self.most[k]
-            for part in range(0, len(places), 1 << 14):
-                some = places[part : part + (1 << 14)]
-                x = np.zeros((len(some), n), np.uint64)
-                for i, (row, at) in enumerate(some):
-                    own = h[at : min(at + n, first[row + 1])]
-                    x[i, : len(own)] = own
-                keep = np.zeros(len(some), bool)
-                for r in range(self.walks.repeats):
-                    left = np.flatnonzero(~keep)
-                    if not len(left):
-                        break
-                    keep[left] = self.walks.key(r, x[left], n) == self.keys[k, r]
-                for i in np.flatnonzero(keep).tolist():
-                    row, at = some[i]
-                    d = distance(h[at : min(at + n, first[row + 1])], item, e)
-                    if d <= e:
-                        out.append((row, k, at - int(first[row]), d))
-        best: list[tuple[int, int, int, int]] = []
-        for row, k, at, d in sorted(out):
-            if best and best[-1][:2] == (row, k) and at < best[-1][2] + len(self.items[k]):
-                if d < best[-1][3]:
-                    best[-1] = (row, k, at, d)
-            else:
-                best.append((row, k, at, d))
-        return best
+            good = np.flatnonzero((low < high) & (hit + q <= first[rows + 1]))
+            hit, low, rows, n = hit[good], low[good], rows[good], (high - low)[good]
+            total = np.append(0, np.cumsum(n))
+            at = 0
+            while at < len(hit):
+                # Whole rows, as many as have about PAIRS pairs of a run and an item.
+                to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+                if to < len(hit):
+                    begun = int(np.searchsorted(rows, rows[to], "left"))
+                    to = begun if begun > at else int(np.searchsorted(rows, rows[at], "right"))
+                own = n[at:to]
+                s = np.repeat(low[at:to] - (total[at:to] - total[at]), own) + np.arange(total[to] - total[at])
+                k, row, p = of[s], np.repeat(rows[at:to], own), np.repeat(hit[at:to], own)
+                a = np.maximum(p - high_place[s] - most[k], first[row])
+                b = np.minimum(p - low_place[s] + sizes[k] + most[k], first[row + 1])
+                order = np.lexsort((a, k, row))
+                k, row, a, b = k[order], row[order], a[order], b[order]
+                pair = np.append(0, np.cumsum((k[1:] != k[:-1]) | (row[1:] != row[:-1])))
+                reach = np.maximum.accumulate(pair * (len(h) + 1) + b) - pair * (len(h) + 1)
+                begins = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (a[1:] > reach[:-1])))
+                yield from zip(row[begins].tolist(), k[begins].tolist(), a[begins].tolist(), reach[np.append(begins[1:], len(a)) - 1].tolist())
+                at = to
+
+    def matches(self, first: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """row, item, start in the row, words, edits: of passages that overlap, the one of least edits, then of fewest words, then the first."""
+        out: list[tuple[int, int, int, int, int]] = []
+        words: dict[int, list[int]] = {}
+        for row, k, a, b in self.near(first, h):
+            item, e = self.items[k], self.most[k]
+            # All but e words of the item stand in a passage.
+            own = words.get(k) or words.setdefault(k, item.tolist())
+            if sum(map(set(h[a:b].tolist()).__contains__, own)) < len(own) - e:
+                continue
+            best: list[tuple[int, int, int, int]] = []
+            for d, start, end in passages(item, h[a:b], e) if self.free_ends else self._windows(k, h, a, b, int(first[row]), int(first[row + 1])):
+                this = (d, end - start, end, start)
+                if best and start < best[-1][2]:
+                    best[-1] = min(best[-1], this)
+                else:
+                    best.append(this)
+            out += [(row, k, a + start - int(first[row]), end - start, d) for d, _, end, start in best]
+        return sorted(out)
+
+    def _windows(self, k: int, h: np.ndarray, a: int, b: int, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """As ``passages``, of windows with as many words as the item."""
+        item, n = self.items[k], len(self.items[k])
+        last = max(begin, end - n)
+        for at in range(min(a, last), min(max(a, b - n), last) + 1):
+            x = h[at : min(at + n, end)]
+            if (d := distance(x, item, self.most[k])) <= self.most[k]:
+                yield d, at - a, at - a + len(x)
 
 
 def _parts(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
@@ -240,13 +264,13 @@ def _parts(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield ids, texts
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: float = 0.15, min_words: int = 5, recall: float = 0.999) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: float = 0.15, min_words: int = 5, recall: float = 0.999, free_ends: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, n_words, edits for each passage found."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, edits long"
     out = None
     for ids, texts in _parts(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")):
-        index = Index.of(ids, texts, edits, min_words, recall)
+        index = Index.of(ids, texts, edits, min_words, recall, free_ends)
         if index is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -258,18 +282,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
                     w, h = symbols(part.column("text"))
                     found = own.matches(w.first, h)
                     if found:
-                        row, k, at, d = (np.array(c, np.int64) for c in zip(*found))
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(own.ids[k].astype(np.int64)), pa.array(at), pa.array(np.array([len(own.items[i]) for i in k.tolist()], np.int64)), pa.array(d)], names=["doc_id", "item_id", "start_word", "n_words", "edits"])
+                        row, k, at, n, d = (np.array(c, np.int64) for c in zip(*found))
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(own.ids[k].astype(np.int64)), pa.array(at), pa.array(n), pa.array(d)], names=["doc_id", "item_id", "start_word", "n_words", "edits"])
 
         part = docs.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", edits: float = 0.15, min_words: int = 5, recall: float = 0.999) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", edits: float = 0.15, min_words: int = 5, recall: float = 0.999, free_ends: bool = False) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     for ids, texts in _parts(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")):
-        index = Index.of(ids, texts, edits, min_words, recall)
+        index = Index.of(ids, texts, edits, min_words, recall, free_ends)
         if index is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(index)

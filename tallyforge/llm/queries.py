@@ -75,7 +75,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm import decontaminate
 
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), free_ends=True)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,46 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_with_free_ends(spark):
+    """Against brute force over stretches of any length: copies inside longer text with words dropped, added or replaced."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(900)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((7, 14, 20, 40, 59, 120))]
+    rows = []
+    for i in range(90):
+        k = i % 6
+        item = items[k][1].split()
+        for _ in range(max(0, int(0.15 * len(item)) - i // 60 + (i % 7 == 0))):
+            at = rng.randrange(len(item))
+            item[at : at + (i // 6 % 3 > 0)] = [rng.choice(words)] * (i // 6 % 3 != 1)
+        rows.append((i, " ".join([rng.choice(words) for _ in range(30)] + item + [rng.choice(words) for _ in range(30)])))
+    rows += [(90, " ".join([items[2][1]] * 3)), (91, "x " * 500), (92, " ".join(items[3][1].split()[6:])), (93, " ".join(items[3][1].split()[7:]))]
+    rows += [(94, " ".join(items[3][1].split()[:-1] + items[3][1].split() + items[3][1].split()[1:]))]
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        for k, s in items:
+            row, item = [0] * (len(w) + 1), s.split()
+            for a, x in enumerate(item, 1):
+                new = [a]
+                for j, y in enumerate(w, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+                row = new
+            if min(row) <= int(0.15 * len(item)):
+                want[i, k] = min(row)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(docs, bench, free_ends=True).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(want) and (92, 3) in want and (93, 3) not in want and len(want) > 70
+    assert sorted((r["start_word"], r["n_words"], r["edits"]) for r in got if r["doc_id"] == 90) == [(0, 20, 0), (20, 20, 0), (40, 20, 0)]
+    assert sorted((r["start_word"], r["n_words"], r["edits"]) for r in got if r["doc_id"] == 94) == [(0, 39, 1), (39, 40, 0), (79, 39, 1)]
+    texts, bodies = dict(rows), dict(items)
+    for r in got:
+        found = texts[r["doc_id"]].split()[r["start_word"] : r["start_word"] + r["n_words"]]
+        assert edit(found, bodies[r["item_id"]].split()) == r["edits"] <= int(0.15 * len(bodies[r["item_id"]].split()))
+    assert all(min(r["edits"] for r in got if (r["doc_id"], r["item_id"]) == p) == d for p, d in want.items())
+    assert {r["doc_id"] for r in decontaminate.decontaminated(docs, bench, free_ends=True).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_lm_scores(docs, none):
     rows = corpus()
     words = [(r[0], WORD.findall((r[1] or "").translate(SMALL))) for r in rows]
