@@ -31,8 +31,6 @@ from tallyforge.llm import text as T
 ITEMS = 20_000
 ITEM_WORDS = 1_000_000
 PAIRS = 1 << 20
-SAMPLED = 2
-MAX_REPEATS = 200
 
 BETWEEN = np.ones(256, bool)
 for _range in (range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0x100)):
@@ -86,36 +84,6 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(int(row[m]), most + 1)
 
 
-class Walks:
-    """CGK walks with ``repeats`` seeds, and the places sampled from each."""
-
-    def __init__(self, longest: int, repeats: int, seed: int = 7) -> None:
-        rng = np.random.default_rng(seed)
-        self.repeats = repeats
-        self.steps = rng.integers(1, 1 << 63, (repeats, 3 * longest + 1), dtype=np.uint64)
-        self.draws = rng.random((repeats, SAMPLED))
-
-    def walk(self, r: int, windows: np.ndarray, steps: int) -> np.ndarray:
-        """What the walks over rows of symbols put out; 0 beyond the end."""
-        rows, n = windows.shape
-        padded = np.column_stack([windows, np.zeros(rows, np.uint64)])
-        at, out = np.zeros(rows, np.int64), np.empty((rows, steps), np.uint64)
-        each = np.arange(rows)
-        for j in range(steps):
-            out[:, j] = symbol = padded[each, at]
-            at = np.minimum(at + (T.mix(symbol ^ self.steps[r, j]) >> np.uint64(63)).astype(np.int64), n)
-        return out
-
-    def key(self, r: int, windows: np.ndarray, width: int) -> np.ndarray:
-        """``width``: the item's number of words, which fixes the places; a walk uses about twice as many steps."""
-        places = np.sort((self.draws[r] * 2 * width).astype(np.int64))
-        out = self.walk(r, windows, int(places[-1]) + 1)[:, places]
-        key = np.zeros(len(out), np.uint64)
-        for i in range(SAMPLED):
-            key = T.mix(key * np.uint64(31) + out[:, i] + np.uint64(i))
-        return key
-
-
 @dataclass
 class Index:
     ids: np.ndarray
@@ -124,11 +92,9 @@ class Index:
     free_ends: bool
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     """By q: sorted hashes, each one's item, first and last place in it, and a table of the hashes' low bits."""
-    walks: Walks
-    keys: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str], edits: float, min_words: int, recall: float, free_ends: bool) -> Index | None:
+    def of(cls, ids: list[int], texts: list[str], edits: float, min_words: int, free_ends: bool) -> Index | None:
         w, h = symbols(pa.array(texts, pa.string()))
         own = [(i, h[a:b]) for i, a, b in zip(ids, w.first[:-1].tolist(), w.first[1:].tolist()) if b - a >= min_words]
         if not own:
@@ -153,39 +119,7 @@ class Index:
             bits = np.zeros(1 << min(24, max(16, (64 * len(hashes)).bit_length())), bool)
             bits[hashes & np.uint64(len(bits) - 1)] = True
             seeds[q] = (hashes[begins], of[begins], place[begins], place[np.append(begins[1:], len(place)) - 1], bits)
-        repeats = cls._repeats(items, most, recall)
-        walks = Walks(max(map(len, items)), repeats)
-        keys = np.zeros((len(items), repeats), np.uint64)
-        sizes = np.array([len(x) for x in items])
-        for n in np.unique(sizes).tolist():
-            same = np.flatnonzero(sizes == n)
-            stacked = np.array([items[k] for k in same.tolist()], np.uint64)
-            for r in range(repeats):
-                keys[same, r] = walks.key(r, stacked, n)
-        return cls(np.array([i for i, _ in own]), items, most, free_ends, seeds, walks, keys)
-
-    @staticmethod
-    def _repeats(items: list[np.ndarray], most: list[int], recall: float, tries: int = 64) -> int:
-        """From how often sampled places agree in walks of items (at most ``tries`` of them) with as many edits as they allow."""
-        rng = np.random.default_rng(11)
-        chosen = np.unique(np.linspace(0, len(items) - 1, tries).astype(int))
-        probe = Walks(max(map(len, items)), 16, 13)
-        agree = []
-        for k in chosen.tolist():
-            x, e = items[k], list(items[k])
-            for _ in range(most[k]):
-                kind, at = rng.integers(3), int(rng.integers(len(e)))
-                new = np.uint64(rng.integers(1, 1 << 62))
-                if kind == 0:
-                    e[at] = new
-                elif kind == 1:
-                    e.insert(at, new)
-                elif len(e) > 1:
-                    del e[at]
-            y = np.array((e + [np.uint64(0)] * len(x))[: len(x)], np.uint64)
-            agree.append(np.mean([probe.key(r, x[None, :], len(x))[0] == probe.key(r, y[None, :], len(x))[0] for r in range(16)]))
-        p = max(0.02, float(np.quantile(agree, 0.05)))
-        return int(min(MAX_REPEATS, max(8, np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.99))))))
+        return cls(np.array([i for i, _ in own]), items, most, free_ends, seeds)
 
     def near(self, first: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Stretches of documents of words ``h`` that hold all their passages: row, item, from and to (in ``h``)."""
@@ -264,13 +198,13 @@ def _parts(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield ids, texts
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: float = 0.15, min_words: int = 5, recall: float = 0.999, free_ends: bool = False) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: float = 0.15, min_words: int = 5, free_ends: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, n_words, edits for each passage found."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, edits long"
     out = None
     for ids, texts in _parts(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")):
-        index = Index.of(ids, texts, edits, min_words, recall, free_ends)
+        index = Index.of(ids, texts, edits, min_words, free_ends)
         if index is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -290,10 +224,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", edits: float = 0.15, min_words: int = 5, recall: float = 0.999, free_ends: bool = False) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", edits: float = 0.15, min_words: int = 5, free_ends: bool = False) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     for ids, texts in _parts(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")):
-        index = Index.of(ids, texts, edits, min_words, recall, free_ends)
+        index = Index.of(ids, texts, edits, min_words, free_ends)
         if index is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(index)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm import decontaminate, html_text, jaccard_join, kd_shards, lm_scoring, pivot_search, quality, sentencepiece_codec, substring_dedup, text, token_output
@@ -368,6 +369,22 @@ def test_decontamination_with_free_ends(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminated(docs, bench, free_ends=True).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_decontamination_of_a_few_long_items():
+    """Long items among many short ones: each copy with as many edits as are allowed is found."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(7)) for _ in range(3000)]
+    items = [[rng.choice(words) for _ in range(n)] for n in [20] * 150 + [400, 1000]]
+    index = decontaminate.Index.of(list(range(152)), [" ".join(x) for x in items], edits=0.15, min_words=5, free_ends=True)
+    texts = []
+    for i in range(60):
+        item = list(items[150 + i % 2])
+        for at in rng.sample(range(len(item)), int(0.15 * len(item))):
+            item[at] = "q" + item[at]
+        texts.append(" ".join(["y"] * 5 + item + ["z"] * 5))
+    w, h = decontaminate.symbols(pa.array(texts, pa.string()))
+    assert {(row, k) for row, k, *_ in index.matches(w.first, h)} == {(i, 150 + i % 2) for i in range(60)}
+
+
 def test_lm_scores(docs, none):
     rows = corpus()
     words = [(r[0], WORD.findall((r[1] or "").translate(SMALL))) for r in rows]
