@@ -65,6 +65,10 @@ def _runs(w: T.Words, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     places = np.arange(len(grams), dtype=np.uint64) & np.uint64(PLACES - 1)
     at = (_sliding_least(grams | places, length - ANCHOR + 1)[starts] & np.uint64(PLACES - 1)).astype(np.int64)
     least = starts + ((at - starts) & (PLACES - 1))
+    # Of equal hashes the leftmost counts, also where the low bits begin anew in a window: so two equal windows are never in one run.
+    width = length - ANCHOR + 1
+    over = np.flatnonzero((starts & (PLACES - 1)) + width > PLACES)
+    least[over] = starts[over] + np.argmin(grams[starts[over][:, None] + np.arange(width)], axis=1)
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
@@ -85,7 +89,7 @@ def _anchor_counts(length: int):
             for part in T.slices(batch, "text"):
                 w = T.words(part.column("text"))
                 anchors, rows, *_ = _runs(w, w.hashes(), length)
-                # Two runs of one document can have one anchor's place only if they are one run: each is a place of its own.
+                # Each run is a place of its own, and no window of it is equal to another of the same run.
                 keys, inverse = np.unique(anchors, return_inverse=True)
                 n = np.bincount(inverse, copies[at : at + part.num_rows][rows], minlength=len(keys)).astype(np.int64)
                 at += part.num_rows

@@ -297,6 +297,29 @@ def edit(a, b):
     return row[-1]
 
 
+def test_periodic_passages_wherever_they_lie():
+    """Two equal windows are in one run nowhere in a slice, also where the low bits of places begin anew."""
+    rng = random.Random(6)
+    lost = 0
+    for place in range(1024 - 60, 1024 + 8):
+        for n, period in ((36, 1), (40, 1), (45, 2), (50, 5)):
+            unit = [f"u{rng.random()}" for _ in range(period)]
+            t = " ".join([f"w{rng.random()}" for _ in range(place)] + (unit * n)[:n] + [f"w{rng.random()}" for _ in range(40)])
+            w = text.words(pa.array([t], pa.string()))
+            h = w.hashes()
+            windows = text.rolling(h, 35)
+            for first, count in zip(*(c.tolist() for c in (substring_dedup._runs(w, h, 35)[2], substring_dedup._runs(w, h, 35)[4]))):
+                lost += len(set(windows[first : first + count].tolist())) < count
+    assert lost == 0
+
+
+def test_periodic_passage_is_removed(spark):
+    """One word 36 times in a row, before the place 1024 of a slice and over it."""
+    rows = [(i, " ".join([f"a{i}_{j}" for j in range(990 + i)] + [f"x{i}"] * 36 + [f"b{i}_{j}" for j in range(1022 - i)])) for i in range(0, 36)]
+    out = substring_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {i: 36 for i, _ in rows}
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdé") for _ in range(5)) for _ in range(400)]
