@@ -2,7 +2,9 @@
 
 A forgiving parser makes a tree of a page (implied ends of ``p``, ``li``, table parts; unknown ends are passed over).
 Parts that are never main text go first: scripts and the like, menus, headers and footers of the page, sidebars,
-forms, and what its class, id or role names as an advert, a notice, comments and so on. For every other node,
+forms, and what its class, id or role names as an advert, a notice, comments and so on. A form or an element named by
+class or id stays if it holds the page's articles or most of its text, and a name such as has-sidebar or comments-open
+names nothing. For every other node,
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
@@ -36,7 +38,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "thead": ("tr",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
 
-DROPPED = frozenset("head script style noscript template svg math canvas object iframe nav footer aside form button select textarea input dialog menu audio video noembed noframes datalist title".split())
+DROPPED = frozenset("head script style noscript template svg math canvas object iframe nav footer aside button select textarea input dialog menu audio video noembed noframes datalist title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Words in a class or id that name what isn't main text.
 DROPPED_NAMES = frozenset(
@@ -48,22 +50,25 @@ DROPPED_NAMES = frozenset(
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>?)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
+#: Names that say something about a layout or a state, as has-sidebar or comments-open.
+_MODIFIED = re.compile(r"\b(?:has|no|with|without)[-_][\w-]+|\b[\w-]{1,60}[-_](?:open|closed|enabled|disabled)\b|\bside-by-side\b", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 
-def _named(attributes: str) -> bool:
-    """Do the attributes say that the element isn't main text?"""
+def _named(attributes: str) -> int:
+    """Do the attributes say that the element isn't main text? 2: by role or because it's hidden; 1: by a name only."""
+    said = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if not DROPPED_NAMES.isdisjoint(_PARTS.findall(value)):
-                return True
+            if not DROPPED_NAMES.isdisjoint(_PARTS.findall(_MODIFIED.sub(" ", value))):
+                said = 1
         elif name == "role":
             if value in DROPPED_ROLES:
-                return True
+                return 2
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+            return 2
+    return said
 
 
 class Tree:
@@ -73,6 +78,7 @@ class Tree:
         self.tag, self.parent, self.end, self.gone = ["#page"], [-1], [0], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self._open = [0]
+        self._doubtful: set[int] = set()
         at, size = 0, len(page)
         while at < size:
             m = _TOKEN.search(page, at)
@@ -99,6 +105,39 @@ class Tree:
         while len(self._open) > 1:
             self._pop()
         self.end[0] = len(self.tag)
+        if self._doubtful:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Drop what a name or ``form`` marks, but not what holds the page's articles or most of its text."""
+        n, tags, doubtful = len(self.tag), self.tag, self._doubtful
+        link, within = [False] * n, [False] * n  # within: below an article or main
+        for i in range(1, n):
+            p = self.parent[i]
+            link[i] = tags[i] == "a" or link[p]
+            within[i] = within[p] or tags[p] in ("article", "main")
+        whole = [0] * n
+        for node, s in self.pieces:
+            if s and not self.gone[node] and not link[node]:
+                whole[node] += len("".join(s.split()))
+        plain, kept, articles = list(whole), list(whole), [0] * n
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            if tags[i] in ("article", "main"):
+                articles[i] = whole[i]
+            whole[p] += whole[i]
+            articles[p] += articles[i]
+            plain[p] += 0 if i in doubtful else plain[i]
+        for i in range(n - 1, 0, -1):
+            if i in doubtful:
+                outside = articles[0] - (whole[i] if within[i] else articles[i])
+                if (articles[i] > 0 and 2 * articles[i] >= articles[0] and articles[i] >= plain[0]) or (2 * kept[i] > whole[0] and 4 * outside < kept[i]):
+                    doubtful.discard(i)
+                else:
+                    continue
+            kept[self.parent[i]] += kept[i]
+        for i in doubtful:
+            self.gone[i : self.end[i]] = [True] * (self.end[i] - i)
 
     def _text(self, s: str) -> None:
         node = self._open[-1]
@@ -142,9 +181,12 @@ class Tree:
                 while len(self._open) > ended:
                     self._pop()
         above, node = self._open[-1], len(tags)
-        gone = self.gone[above] or name in DROPPED or (name not in ("html", "body", "article", "main") and _named(attributes)) or (name == "article" and bool(re.search(r"\bcomment", attributes, re.I)))
+        named = 0 if name in ("html", "body", "article", "main") else _named(attributes)
+        gone = self.gone[above] or name in DROPPED or named == 2 or (name == "article" and bool(re.search(r"\bcomment", _MODIFIED.sub(" ", attributes), re.I)))
         if name == "header" and not gone:
             gone = not any(tags[i] in ("article", "main") for i in self._open)
+        if not gone and (named or name == "form"):
+            self._doubtful.add(node)
         tags.append(name)
         self.parent.append(above)
         self.end.append(node + 1)

@@ -265,6 +265,22 @@ def test_html(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_html_of_layout_wrappers(spark):
+    """A name or a form around the article doesn't take it away; what is really named so still goes."""
+    body = "<h1>Head</h1>" + "".join(f"<p>Paragraph {i} has words enough to be the main text of this page, and no link in it.</p>" for i in range(6))
+    want = html_text.main_text(f"<body><div>{body}</div></body>")
+    assert want.startswith("Head") and want.count("Paragraph") == 6
+    extra = '<div class="sidebar"><p>Latest <a href=x>one</a> news</p></div><div class="comments"><div class="comment"><p>Nice, and a rather long comment it is.</p></div></div><form><label>Mail</label><input></form>'
+    for tag in ("div", "article"):
+        inner = f"<{tag}>{body}</{tag}>"
+        for a, b in (('<div class="page has-sidebar">', "</div>"), ('<div id="content" class="no-sidebar">', "</div>"), ('<div class="post comments-open">', "</div>"), ('<div class="side-by-side">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<div class="sidebar layout">', "</div>"), ('<form><div class="social widget">', "</div></form>"), ('<main><form action="/">', "</form></main>"), ('<article class="post comments-open">', "</article>")):
+            assert html_text.main_text(f"<html><body>{a}{inner}{b}</body></html>") == want, (tag, a)
+            assert html_text.main_text(f"<html><body>{a}{inner}{extra}{b}{extra}</body></html>") == want, (tag, a)
+    teasers = '<div class="related">' + "<article><p>Other story, in short words.</p></article>" * 3 + "</div>"
+    assert html_text.main_text(f"<body><article>{body}</article>{teasers}</body>") == html_text.main_text(f"<body><div>{body}</div>{teasers}</body>") == want
+    assert html_text.main_text(f'<body><div>{body}</div><div class="sidebar">{body.replace("Paragraph", "Side")[:200]}</div></body>') == want
+
+
 def test_quality(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]
