@@ -449,7 +449,7 @@ def embedding_projection(spark, sf_dir):
 
 def full_config(sf_dir: str) -> dict:
     return {
-        "dataloaders": {"loaders": [{"name": "emb", "type": "parquet", "path": f"{sf_dir}/embeddings.parquet", "split": {"by": "label", "values": ["[0-3]"]}}]},
+        "dataloaders": {"loaders": [{"name": "emb", "type": "parquet", "path": f"{sf_dir}/embeddings.parquet", "split": {"by": "label"}}]},
         "metrics": {
             "processors": [
                 {"type": "completeness", "name": "c", "columns": {"input": ["vec_id", "label"]}},

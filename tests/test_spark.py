@@ -197,3 +197,8 @@ def test_sampled_distance_is_near(spark):
     p = Representativeness({"name": "r", "columns": {"input": ["x"]}, "distribution": "uniform", "metrics": ["kolmogorov-smirnov"], "mean_std_estimation": "from_all_data", "ks": {"exact": False, "sample_size": 200}})
     row = one(p.compute(df))
     assert row["x_kolmogorov-smirnov_sample_size"] == 200 and row["x_kolmogorov-smirnov_statistic"] < 0.15 and row["x_kolmogorov-smirnov_note"] == "approximated_from_random_samples"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_whole_job_takes_all_labels(spark):
+    assert queries.job_metrics(spark, DATA).count() == 10 and queries.job_gap(spark, DATA).count() == 2 * 45
