@@ -24,10 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of linked documents, the one of the least id; a document without words stays."""
-    groups = Scratch(spark, "groups").save(jaccard_join.near_duplicates(docs), "members")
-    kept = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").select(*COLUMNS)
+    """Keeps one row of each group of linked documents, that of the least id; a document without words stays."""
+    return jaccard_join.deduplicated(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,7 +219,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
                         row, k, at, n, d = (np.array(c, np.int64) for c in zip(*found))
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(own.ids[k].astype(np.int64)), pa.array(at), pa.array(n), pa.array(d)], names=["doc_id", "item_id", "start_word", "n_words", "edits"])
 
-        part = docs.mapInArrow(run, schema)
+        part = docs.mapInArrow(T.tidy(run), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -240,5 +240,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
                     keep[[row for row, *_ in sent.value.matches(w.first, h)]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(T.tidy(run), docs.schema)
     return docs

@@ -15,8 +15,11 @@ The order of shingles is free for right results. It goes by their counts in a sk
 over all documents, so rare ones come first; the sketch, a byte for each cell (the logarithm of its count), is all that
 is broadcast, and its size doesn't depend on the corpus.
 
-Null and empty texts and texts without words have an empty set and no link. Rows with equal ids are one node.
-Columns other than the two named are ignored. A text of any length is taken whole. An empty table gives none.
+What is joined are sets: rows with equal sets are one node, whatever their ids, and a node's number comes from its set.
+Null and empty texts and texts without words have an empty set, no link, and their own id as component. Rows with equal
+ids and different texts are documents of their own, each in the component of its set. A component's id is the least
+id that isn't null among its rows (null if there is none); repeated rows give repeated results. Columns other than the
+two named are ignored, whatever their names. A text of any length is taken whole. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,11 +37,12 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import text as T
 from tallyforge.llm.components import components
-from tallyforge.llm.store import Scratch, release_shuffles
+from tallyforge.llm.store import Scratch
 
-SKETCH = 1 << 24
+SKETCH = 1 << 22
 SLICE = 1 << 16
-SKETCH_ROWS = 1 << 20
+SKETCH_ROWS = 1 << 18
+FAN = 64
 CHECK_COST = 4.0
 MAX_LIGHT = 24
 LONG = 512
@@ -80,12 +84,18 @@ def _signature(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())
 
 
+def _node(items: np.ndarray) -> int:
+    """A set's number: 64 bits of its signature."""
+    return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
+
+
 def _survey(size: int, kmv: int = 256):
-    """Each row's signature and set size; with them a task's sketch by slices, and its least shingles, which tell how many distinct ones there are."""
+    """Each row's node and set size; with them a task's sketch by slices, and its least shingles, which tell how many distinct ones there are."""
+    kinds = {"doc_id": pa.int64(), "th": pa.int64(), "node": pa.int64(), "n": pa.int64(), "item": pa.int64(), "cells": pa.binary()}
 
     def rows(kind: int, length: int, **columns: pa.Array) -> pa.RecordBatch:
-        kinds = {"doc_id": pa.int64(), "sig": pa.binary(), "n": pa.int64(), "item": pa.int64(), "cells": pa.binary()}
-        return pa.RecordBatch.from_arrays([*(columns.get(k, pa.nulls(length, t)) for k, t in kinds.items()), pa.array(np.full(length, kind, np.int32))], names=[*kinds, "kind"])
+        own = [columns.get(k, pa.nulls(length, t)) for k, t in kinds.items()]
+        return pa.RecordBatch.from_arrays([*own, pa.array(np.full(length, kind, np.int32))], names=[*kinds, "kind"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -95,12 +105,14 @@ def _survey(size: int, kmv: int = 256):
             every = np.concatenate(held)
             cells, counts = np.unique((every & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
             sketch[cells] += counts.astype(np.uint32)
-            return np.unique(np.concatenate([least, np.partition(every, min(kmv, len(every) - 1))[:kmv]]))[:kmv] if len(every) else least
+            few = np.partition(every, min(kmv, len(every) - 1))[:kmv] if len(every) else every
+            return np.unique(np.concatenate([least, few]))[:kmv]
 
         for batch in batches:
             for part in T.slices(batch, "text"):
                 sets = list(T.shingle_sets(part.column("text"), size))
-                yield rows(0, len(sets), doc_id=part.column(0), sig=pa.array([_signature(s) for s in sets], pa.binary()), n=pa.array([len(s) for s in sets], pa.int64()))
+                nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
+                yield rows(0, len(sets), doc_id=part.column(0), th=part.column(1), node=nodes, n=pa.array([len(s) for s in sets], pa.int64()))
                 held += sets
                 total += sum(map(len, sets))
                 if total >= SKETCH_ROWS:
@@ -118,47 +130,56 @@ def _survey(size: int, kmv: int = 256):
 
 
 def _pressed(cells: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(cells.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Counts as planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(cells.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _loose(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """A slice of the sketch over all tasks, as logarithms."""
-    total = np.zeros(SLICE, np.int64)
-    for raw in table["cells"].to_pylist():
-        total += np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-    return pa.table({"item": table["item"][:1], "cells": pa.array([np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())})
+    """A slice of the sketch over up to ``FAN`` rows."""
+    total = np.zeros(SLICE, np.uint64)
+    for raw in table["cells"]:
+        total += _loose(raw.as_py())
+    return pa.table({"item": table["item"][:1], "cells": pa.array([_pressed(total)], pa.binary())})
+
+
+def _listed(parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(p, kind) for p in parts]), pa.from_numpy_dtype(kind)))
 
 
 def _lists(size: int, percent: int, light: int, sent):
-    """For each set that a task hasn't had yet, its prefix, rarest first, or its subsets, or both."""
+    """For each set of a slice of texts, its prefix, rarest first, or its subsets, or both."""
+
+    def shape(s: np.ndarray, often: np.ndarray) -> tuple:
+        n, first, cs, keys = len(s), s[:0], [], []
+        if n > light or 100 * n >= percent * (light + 1):
+            first = s[np.lexsort((s, often))][: prefix(n, percent)]
+        if n <= light:
+            for c in overlaps(n, percent):
+                for some in combinations(s.tolist(), c):
+                    cs.append(c)
+                    keys.append(xxhash.xxh3_64_intdigest(np.array(some, np.uint64).tobytes()) - (1 << 63))
+        wide = _parity(s, WIDE_BITS) if n >= WIDE_FROM else first[:0].view(np.int64)
+        return _node(s), n, first.view(np.int64), cs, keys, _parity(s, BITS), wide
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         sketch = sent.value
         for batch in batches:
             for part in T.slices(batch, "text"):
-                rows: list[tuple[bytes, int, np.ndarray, list[int], list[int], np.ndarray, np.ndarray]] = []
-                sets = list(T.shingle_sets(part.column("text"), size))
-                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                often = sketch[every & np.uint64(SKETCH - 1)]
-                end = 0
-                for s in sets:
-                    end, count = end + len(s), often[end : end + len(s)]
-                    sig = _signature(s)
-                    if not len(s) or sig in seen:
-                        continue
-                    seen.add(sig)
-                    n, first, cs, keys = len(s), s[:0], [], []
-                    if n > light or 100 * n >= percent * (light + 1):
-                        first = s[np.lexsort((s, count))][: prefix(n, percent)]
-                    if n <= light:
-                        for c in overlaps(n, percent):
-                            for some in combinations(s.tolist(), c):
-                                cs.append(c)
-                                keys.append(xxhash.xxh3_64_intdigest(np.array(some, np.uint64).tobytes()) - (1 << 63))
-                    rows.append((sig, n, first, cs, keys, _parity(s, BITS), _parity(s, WIDE_BITS) if n >= WIDE_FROM else first[:0].view(np.int64)))
-                lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate([np.asarray(p, kind) for p in parts]), pa.from_numpy_dtype(kind)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2].view(np.int64) for r in rows], np.int64), lists([r[3] for r in rows], np.int32), lists([r[4] for r in rows], np.int64), lists([r[5] for r in rows], np.int64), lists([r[6] for r in rows], np.int64)], names=["sig", "n", "items", "cs", "keys", "bits", "wide"])
+                sets = {_signature(s): s for s in T.shingle_sets(part.column("text"), size) if len(s)}
+                rows = [shape(s, sketch[s & np.uint64(SKETCH - 1)]) for s in sets.values()]
+                if not rows:
+                    continue
+                node, n, items, cs, keys, bits, wide = zip(*rows)
+                columns = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), _listed(items, np.int64), _listed(cs, np.int32)]
+                columns += [_listed(x, np.int64) for x in (keys, bits, wide)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "items", "cs", "keys", "bits", "wide"])
 
     return run
 
@@ -167,8 +188,8 @@ def _whole_sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
-                sets = [s.tobytes() for s in T.shingle_sets(part.column("text"), size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "items"])
+                sets = list(T.shingle_sets(part.column("text"), size))
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
     return run
 
@@ -201,17 +222,21 @@ def _compared(percent: int, light: int):
 
 
 def _checked(percent: int):
+    """Sets are looked at where they lie in the batch, one pair after the other."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a_items").to_pylist(), batch.column("b_items").to_pylist()
-            inter = np.zeros(len(a), np.int64)
-            size = np.array([(len(x) + len(y)) // 8 for x, y in zip(a, b)], np.int64)
-            for i, (x, y) in enumerate(zip(a, b)):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort()
-                inter[i] = np.count_nonzero(both[1:] == both[:-1])
+            rows = batch.num_rows
+            inter, size = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            a, b = batch.column("a_items"), batch.column("b_items")
+            for i in range(rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")  # two sorted runs
+                inter[i], size[i] = np.count_nonzero(both[1:] == both[:-1]), len(both)
             keep = 100 * inter >= percent * (size - inter)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(inter[keep]), pa.array((size - inter)[keep])], names=["a", "b", "both", "either"])
+            ok = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(inter[keep]), pa.array((size - inter)[keep])], names=["a", "b", "both", "either"])
 
     return run
 
@@ -221,26 +246,36 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> None:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
-        self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
         self.scratch = Scratch(self.spark, "jaccard")
         self._prepare()
 
     def _prepare(self) -> None:
-        survey = self.scratch.save(self.docs.mapInArrow(_survey(self.size), "doc_id long, sig binary, n long, item long, cells binary, kind int"), "survey")
-        rows = survey.where("kind = 0")
-        nodes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node"))
-        self.members = rows.select("doc_id", "n", "sig").join(nodes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
-        sketch = np.zeros(SKETCH, np.uint8)
-        for r in survey.where("kind = 1").select("item", "cells").groupBy("item").applyInArrow(_summed, "item long, cells binary").collect():  # SKETCH bytes
-            sketch[r["item"] * SLICE : (r["item"] + 1) * SLICE] = np.frombuffer(r["cells"], np.uint8)
-        sent = self.spark.sparkContext.broadcast(sketch)
+        survey = self.scratch.save(self.docs.mapInArrow(T.tidy(_survey(self.size)), "doc_id long, th long, node long, n long, item long, cells binary, kind int"), "survey")
+        self.rows = survey.where("kind = 0").select("doc_id", "th", "node", "n")
+        one = F.min(F.struct("doc_id", "th")).alias("one")
+        nodes = self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), one).select("node", "least", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"))
+        self.nodes = self.scratch.save(nodes, "nodes")
+        sent = self.spark.sparkContext.broadcast(self._sketch(survey.where("kind = 1").select("item", "cells")))
         least = survey.where("kind = 2").select("item").distinct().orderBy(F.when(F.col("item") < 0, 1).otherwise(0), "item").limit(256).toPandas()["item"].to_numpy(np.int64).view(np.uint64)
-        total = rows.agg(F.sum("n")).first()[0] or 0
+        total = self.rows.agg(F.sum("n")).first()[0] or 0
         distinct = len(least) if len(least) < 256 else (len(least) - 1) / (float(least.max()) / 2.0**64)
         self.light = boundary(total / max(1.0, distinct), self.percent)
-        shapes = self.docs.mapInArrow(_lists(self.size, self.percent, self.light, sent), "sig binary, n int, items array<bigint>, cs array<int>, keys array<bigint>, bits array<bigint>, wide array<bigint>")
-        one = shapes.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("cs").alias("cs"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
-        self.shapes = self.scratch.save(one.join(nodes, "sig").select("node", "n", "items", "cs", "keys", "bits", "wide").where("node is not null"), "shapes")
+        shapes = self.docs.mapInArrow(T.tidy(_lists(self.size, self.percent, self.light, sent)), "node long, n int, items array<bigint>, cs array<int>, keys array<bigint>, bits array<bigint>, wide array<bigint>")
+        self.shapes = self.scratch.save(shapes.groupBy("node").agg(*(F.first(c).alias(c) for c in shapes.columns[1:])), "shapes")
+
+    def _sketch(self, slices: DataFrame) -> np.ndarray:
+        """The sum of all tasks' sketches as logarithms: added ``FAN`` slices at a time, so no group grows with the number of tasks."""
+        step = 0
+        while (slices.groupBy("item").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0) > 1:
+            part = F.pmod(F.xxhash64("cells"), F.ceil(F.col("k") / FAN))
+            dealt = slices.join(slices.groupBy("item").agg(F.count("*").alias("k")), "item").withColumn("part", part)
+            slices = self.scratch.save(dealt.groupBy("item", "part").applyInArrow(_summed, "item long, cells binary"), f"sketch-{step}")
+            step += 1
+        out = np.zeros(SKETCH, np.uint8)
+        for r in slices.toLocalIterator():  # SKETCH cells in all
+            out[r["item"] * SLICE : (r["item"] + 1) * SLICE] = np.minimum(255, 8 * np.log2(1.0 + _loose(r["cells"]))).astype(np.uint8)
+        return out
 
     def _light_links(self) -> DataFrame:
         """A subset's least set has every link that the subset gives: all whose sizes need no more than the subset."""
@@ -267,17 +302,16 @@ class JaccardJoin:
 
     def _check(self, pairs: DataFrame, label: str) -> DataFrame:
         """Which pairs of nodes are links: by their bitmaps first, and what is left on the whole sets."""
-        may = self._near(pairs, "wide")
-        may = self.scratch.save(may.distinct(), f"{label}-pairs")
-        release_shuffles(self.spark)
-        wanted = may.select(F.col("a").alias("doc_id")).union(may.select(F.col("b").alias("doc_id"))).distinct()
-        sets = self.scratch.save(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_whole_sets(self.size), "node long, items binary"), f"{label}-sets")
-        release_shuffles(self.spark)
+        may = self.scratch.save(self._near(pairs, "wide").distinct(), f"{label}-pairs")
+        wanted = self.nodes.join(may.select(F.col("a").alias("node")).union(may.select(F.col("b").alias("node"))).distinct(), "node").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+        of = self.docs["doc_id"].eqNullSafe(wanted["__id"]) & (self.docs["th"] == wanted["__th"])
+        texts = self.docs.where("text is not null").join(wanted, of, "left_semi").select("text")
+        sets = texts.mapInArrow(T.tidy(_whole_sets(self.size)), "node long, items binary")
+        sets = self.scratch.save(sets.groupBy("node").agg(F.first("items").alias("items")), f"{label}-sets")  # repeated rows give a set once
         side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
-        links = may.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_items", "b_items").mapInArrow(_checked(self.percent), "a long, b long, both long, either long")
-        links = self.scratch.save(links, label)
+        links = may.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_items", "b_items")
+        links = self.scratch.save(links.mapInArrow(T.tidy(_checked(self.percent)), "a long, b long, both long, either long"), label)
         self.scratch.drop(f"{label}-pairs", f"{label}-sets")
-        release_shuffles(self.spark)
         return links
 
     def _postings(self) -> DataFrame:
@@ -285,7 +319,6 @@ class JaccardJoin:
         postings = self.shapes.select("node", "n", F.posexplode("items").alias("place", "item"))
         shared = postings.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
         postings = self.scratch.save(postings.join(shared, "item"), "postings")
-        release_shuffles(self.spark)
         return postings
 
     def _pairs(self, of: DataFrame) -> DataFrame:
@@ -312,16 +345,22 @@ class JaccardJoin:
         mixed = held.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("item")
         return self.scratch.save(held.join(mixed, "item"), label)
 
-    def links(self) -> DataFrame:
-        """Every link between different sets: a, b; with both and either (sizes) for links of heavy sets."""
+    def _all_links(self) -> DataFrame:
+        """Every link between different sets, as nodes a < b."""
         heavy = self._check(self._pairs(self._postings().withColumn("component", F.col("node"))), "links")
         subsets = self.shapes.where(F.size("keys") > 0).select("node", "n", F.explode(F.arrays_zip("cs", "keys")).alias("k"))
         other = subsets.select(F.col("node").alias("b"), F.col("n").alias("m"), "k")
-        light = subsets.join(other, "k").where("node < b").where(self._need("n", "m") <= F.col("k.cs")).select(F.col("node").alias("a"), "b").distinct()
+        light = subsets.join(other, "k").where("node < b").where(self._need("n", "m") <= F.col("k.cs")).select(F.col("node").alias("a"), "b")
         return heavy.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(light).distinct()
 
-    def documents(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, and class_id: the least id among rows with the same set."""
+    def links(self) -> DataFrame:
+        """Every link between different sets: a, b, the least ids of rows with either set (a is not the larger)."""
+        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("least").alias(f"{x}_id"))
+        found = self._all_links().join(side("a"), "a").join(side("b"), "b")
+        return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+    def _components(self) -> DataFrame:
+        """node and component, both nodes, for every node that has a link."""
         postings = self._postings()
         light = self.scratch.save(self._light_links(), "light")
         links, found = light, self.scratch.save(components(light, self.scratch, "cc"), "components")
@@ -331,18 +370,46 @@ class JaccardJoin:
             low = held.groupBy("item").agg(F.min(F.struct(order.alias("order"), "node", "n", "place", "component")).alias("low"))
             low = low.select("item", F.col("low.n").alias("m"), F.col("low.node").alias("b"), F.col("low.place").alias("at"), F.col("low.component").alias("other"))
             pairs = self._may_link(held.join(low, "item").where("component <> other")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-            links = links.union(self._check(self._near(pairs, "bits"), f"star-{i}").select("a", "b"))
-            found = self.scratch.save(components(links, self.scratch, f"cc-{i}"), f"components-{i}")
-            held = self._mixed(held, found, f"held-{i}")
-            release_shuffles(self.spark)
+            new = self._check(self._near(pairs, "bits"), f"star-{i}").select("a", "b")
+            links = links.union(new)
+            if i == 0 or not new.isEmpty():
+                found = self.scratch.save(components(links, self.scratch, f"cc-{i}"), f"components-{i}")
+                held = self._mixed(held, found, f"held-{i}")
             if held.isEmpty():
                 break
         self.scratch.drop("postings")
+        if held.isEmpty():
+            return found
         rest = self._check(self._pairs(held), "rest").select("a", "b")
-        last = found if rest.isEmpty() else components(links.union(rest), self.scratch, "cc-rest")
-        return self.members.join(last, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("class_id"))
+        return found if rest.isEmpty() else components(links.union(rest), self.scratch, "cc-rest")
+
+    def documents(self) -> DataFrame:
+        """A row for each row: doc_id, n_shingles, component_id, and class_id, the least id among rows with the same set; ``th`` is the hash of its text, ``group`` the component's number."""
+        found = self.scratch.save(self._components(), "found")
+        nodes = self.nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
+        ids = nodes.groupBy("group").agg(F.min("least").alias("component_id"))
+        nodes = self.scratch.save(nodes.join(ids, "group"), "groups")
+        out = self.rows.join(nodes, "node", "left")
+        own = lambda c: F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col(c))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id").alias("component_id"), own("least").alias("class_id"), "th", "group")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, class_id."""
-    return JaccardJoin(docs, **options).documents()
+    return JaccardJoin(docs, **options).documents().select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of linked documents, with all its columns: that of the least id (a null id before all), of equal ones that of the least text hash.
+
+    Rows that are equal in id and text are one document, of which one row stays, also where the text has no words.
+    """
+    join = JaccardJoin(docs, id_col=id_col, text_col=text_col, **options)
+    rows = join.documents()
+    key = F.when(F.col("group").isNull(), F.struct(F.lit(1).alias("k"), F.col("th").alias("g"), F.col("doc_id").alias("i"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("group").alias("g"), F.lit(None).cast("bigint").alias("i")))
+    kept = rows.groupBy(key.alias("key")).agg(F.min(F.struct("doc_id", "th")).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
+    kept = join.scratch.save(kept, "kept")
+    names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns' names
+    plain = docs.toDF(*names).withColumns({"__doc": F.col(names[docs.columns.index(id_col)]).cast("bigint"), "__text": F.xxhash64(names[docs.columns.index(text_col)])})
+    found = plain.join(kept, plain["__doc"].eqNullSafe(kept["__id"]) & (plain["__text"] == kept["__th"]), "left_semi")
+    return found.dropDuplicates(["__doc", "__text"]).select(*names).toDF(*docs.columns)

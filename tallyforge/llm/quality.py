@@ -79,7 +79,7 @@ def table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(T.tidy(run), "doc_id long, x array<double>")
 
 
 class Discriminant:
@@ -133,7 +133,7 @@ def fit(x: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["label", "place", "value"])
 
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    parts = x.join(known, "doc_id").select("label", "x").mapInArrow(run, "label int, place int, value double")
+    parts = x.join(known, "doc_id").select("label", "x").mapInArrow(T.tidy(run), "label int, place int, value double")
     sums: dict[int, np.ndarray] = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
     for label, place, value in parts.groupBy("label", "place").agg(F.sum("value")).collect():  # at most 2 (1 + d + d * d) rows
         sums[label][place] = value
@@ -146,7 +146,7 @@ def _scored(x: DataFrame, model: Discriminant) -> DataFrame:
             score = model.score(np.array(batch.column("x").flatten()).reshape(-1, len(NAMES)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return x.mapInArrow(run, "doc_id long, score double, predicted int")
+    return x.mapInArrow(T.tidy(run), "doc_id long, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -170,4 +170,4 @@ def accepted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> D
             for part in T.slices(batch, text_col):
                 yield part.filter(pa.array(keep(statistics(part.column(text_col))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.tidy(run), docs.schema)

@@ -1,30 +1,50 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
-Executors may be lost at any time, so a lineage is cut with tables written there, never with local copies.
+Executors may be lost at any time, so a lineage is cut with tables written there, never with local copies. Once a
+table is written, the shuffle files of the query that made it serve nobody, and Spark deletes them with the query
+(``fileCleanup``); so what lies on disk is what the plan's present step needs.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a folder of our own, but only if there is no other machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: executors of a cluster need a folder that they share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         shared_dir.own = base
     return base.rstrip("/")
 
 
-#: Rows in an Arrow batch: whole texts, so far fewer than Spark's 10,000.
-BATCH_ROWS = 1000
-CLEANING_S = 0.5
+#: While a table is written: rows and bytes of an Arrow batch (whole texts, so far fewer rows than Spark's 10,000), and shuffle files.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold within the block and are as before after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -32,27 +52,19 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{shared_dir(spark)}/tallyforge/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with settings(self.spark, WRITING):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no DataFrame needs any more."""
+        """Deletes tables that no DataFrame needs any more; without names the whole folder."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of DataFrames that are gone: it acts when the JVM has collected garbage, in a thread of its own, which gets a moment."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(CLEANING_S)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import text as T
-from tallyforge.llm.store import Scratch, release_shuffles
+from tallyforge.llm.store import Scratch
 
 ANCHOR = 8
 PLACES = 1024
@@ -142,32 +142,26 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "dedup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.octet_length(text_col).cast("bigint").alias("tl"), F.col(text_col).alias("text")).where("text is not null")
-    shared = texts.select("th", "tl", "text").mapInArrow(_anchor_counts(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    shared = texts.select("th", "tl", "text").mapInArrow(T.tidy(_anchor_counts(length)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     shared = scratch.save(shared, "anchors")  # aggregates are written before they are joined: only a plain join's hot keys can be split
-    rows = texts.mapInArrow(_run_rows(length), "anchor long, whole long, doc_id long, th long, tl long, first int, copies int, windows int")
+    rows = texts.mapInArrow(T.tidy(_run_rows(length)), "anchor long, whole long, doc_id long, th long, tl long, first int, copies int, windows int")
     found = scratch.save(rows.join(shared, "anchor"), "runs")
-    release_shuffles(spark)
 
     place = F.struct("doc_id", "th", "tl", "first")
     runs = scratch.save(found.groupBy("anchor", "whole").agg(F.sum("copies").alias("k"), F.min(place).alias("source")), "sources")
     mixed = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     mixed = scratch.save(mixed, "mixed")
-    release_shuffles(spark)
     found = found.join(runs, ["anchor", "whole"])
     wholes = scratch.save(found.where("k > 1").select("th", "tl", F.col("first").alias("start"), "windows", F.col("source.doc_id").alias("source_id"), F.col("source.first").alias("source_start")), "wholes")
-    release_shuffles(spark)
     # A run is opened where its anchor has another run; a copied one only at its source, for others to find.
     sources = found.where(F.expr("struct(doc_id, th, tl, first)").eqNullSafe(F.col("source"))).join(mixed, "anchor")
     wanted = scratch.save(sources.groupBy("doc_id", "th", "tl").agg(F.collect_set(F.struct("first", "windows", "k")).alias("runs")), "wanted")
-    release_shuffles(spark)
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"]) & (texts["tl"] == wanted["tl"])
-    opened = texts.join(wanted, same).select(texts["doc_id"], texts["th"], texts["tl"], "text", "runs").mapInArrow(_windows(length), "window long, k long, doc_id long, th long, tl long, start int")
+    opened = texts.join(wanted, same).select(texts["doc_id"], texts["th"], texts["tl"], "text", "runs").mapInArrow(T.tidy(_windows(length)), "window long, k long, doc_id long, th long, tl long, start int")
     opened = scratch.save(opened.dropDuplicates(["window", "doc_id", "th", "tl", "start"]), "windows")
     scratch.drop("anchors", "runs", "sources", "mixed", "wanted")
-    release_shuffles(spark)
     repeated = opened.groupBy("window").agg(F.sum("k").alias("n"), F.min(F.struct("doc_id", "start")).alias("source")).where("n > 1")
     repeated = scratch.save(repeated, "repeated")
-    release_shuffles(spark)
     single = opened.where("k = 1").join(repeated.select("window", "source"), "window").select("th", "tl", "start", F.lit(1).alias("windows"), F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
     return wholes.union(single)
 
@@ -175,7 +169,6 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _with_spans(docs: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with ``__spans``, the starts and numbers of windows; null where there is none."""
     spans = scratch.save(spans.groupBy("th", "tl").agg(F.collect_set(F.struct("start", "windows")).alias("__spans")), "spans")
-    release_shuffles(docs.sparkSession)
     spans = spans.withColumnsRenamed({"th": "__th", "tl": "__tl"})
     return docs.withColumns({"__th": F.xxhash64(text_col), "__tl": F.octet_length(text_col).cast("bigint")}).join(spans, ["__th", "__tl"], "left").drop("__th", "__tl")
 
@@ -208,7 +201,7 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     spans = duplicate_spans(docs, length=length, scratch=scratch)
-    return _with_spans(docs, "text", spans, scratch).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs, "text", spans, scratch).mapInArrow(T.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35) -> DataFrame:
@@ -234,4 +227,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, length=length, scratch=scratch)
-    return _with_spans(docs, text_col, spans, scratch).select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, text_col, spans, scratch).select(*docs.columns, "__spans").mapInArrow(T.tidy(run), docs.schema)

@@ -473,3 +473,15 @@ def test_pipeline(spark, tmp_path):
     back = {r["doc_id"]: codec.decode(r["piece_ids"]) for r in out}
     assert set(back) == {i for i in range(200) if i % 5} - {7} and all(r["same"] for r in out)
     assert passage not in back[41] and back[41].strip() == rows[41][1].split("\n")[0] and back[2] == rows[2][1]
+
+
+def test_jaccard_equal_and_null_ids(spark):
+    """Rows are documents by their text: equal ids don't join sets, null ids have components too."""
+    base = [f"w{i}" for i in range(40)]
+    near, other = " ".join(base[:39] + ["z"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, " ".join(base)), (5, other), (3, other), (7, near), (None, " ".join(base)), (None, "alone here"), (5, other), (8, None), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(5, 36, 5), (5, 26, 3), (3, 26, 3), (7, 36, 5), (None, 36, 5), (None, 1, None), (5, 26, 3), (8, 0, 8), (8, 0, 8)]))
+    kept = [tuple(r) for r in jaccard_join.deduplicated(df).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, " ".join(base)), (3, other), (None, "alone here"), (8, None)]))
