@@ -1,30 +1,39 @@
-"""Passages of at least ``length`` words that stand at more than one place of a corpus.
+"""Passages of at least ``length`` words that stand at more than one place of a corpus, by relative Lempel-Ziv parsing.
 
-Relative Lempel-Ziv parsing: documents are factored against reference blocks, which are all passages of the corpus
-around content-chosen anchors. A window of ``length`` words has as its anchor the least hash among its runs of
-``ANCHOR`` words, so equal windows have equal anchors wherever they stand, and a block's index key is its anchor.
-Successive windows with one anchor are a run, the unit that is looked up:
+Documents are parsed against reference blocks, which hold the corpus itself: a block is all passages around one set of
+content-chosen anchors. A window of ``length`` words has as its anchor the least hash among its runs of ``ANCHOR`` words,
+so equal windows have equal anchors wherever they stand, and a document need be parsed only against the blocks that
+its anchors name. Successive windows with one anchor are a run, the unit that is parsed:
 
 1. Anchors that stand at one place only are put aside (their counts combine before the shuffle).
-2. Runs whose whole word sequence stands elsewhere too are factors at once; their source is its first place.
-3. Other runs of a shared anchor are opened: each window is looked up alone, so a factor begins and ends at the right
-   word, also where it goes over the boundary of another factor.
-
-A document's factors, each at least ``length`` words, are its duplicate spans. All places of a passage are spans,
-the first one included.
-
-Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Null texts have none. Equal texts are parsed once
-for each batch and counted as often as they stand there. Other columns are kept as they are, whatever their names.
-An empty table gives an empty one.
+2. Of runs whose whole word sequence stands elsewhere too, a block gets the first; the copies are factors at once.
+3. Blocks are written as a table: each different run of a shared anchor, with its words. A task takes about ``BLOCK_ROWS``
+   of them, indexes them (a suffix array over exact word numbers, with the length of what neighbours share) and
+   parses each run greedily from its first word on: a factor is the longest match that begins there at another place.
+   A factor of ``length`` words or more is a duplicate span. Windows over a factor's end are looked up one by one.
+4. A run ends where its anchor does, a factor need not: what touches or overlaps in a document is one span.
+
+An anchor with over ``HOT`` different runs (a passage that very many documents share has such at its edges) would make a
+block of any size. Its runs are dealt by window instead, each with a hash of 128 bits, and equal windows are counted.
+
+A span is a ``first`` one if no equal passage stands at a lower place (by document id, text hash and word). ``digests`` removes
+all places of a passage, ``dedup`` all or, with ``keep_first``, all but the first.
+
+Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Runs that are whole copies are known by a hash of
+128 bits, others by their words. Null texts have none, and null ids are below all others. Equal texts are parsed once for each
+batch and counted as often as they stand there; with ``keep_first`` a row counts for itself, and rows that are equal in
+id and text are one place. Other columns are kept as they are, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +45,14 @@ PLACES = 1024
 """A power of two over the number of anchors in a window."""
 
 
-def _unique_texts(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+HOT = 256
+BLOCK_ROWS = 4096
+
+
+def _unique_texts(batch: pa.RecordBatch, merge: bool) -> tuple[pa.RecordBatch, np.ndarray]:
     """One row for each text hash and length, and how many rows had it."""
+    if not merge:
+        return batch, np.ones(batch.num_rows, np.int64)
     keys = np.rec.fromarrays([batch.column(c).to_numpy(zero_copy_only=False) for c in ("th", "tl")])
     _, first, counts = np.unique(keys, return_index=True, return_counts=True)
     order = np.argsort(first)
@@ -55,11 +70,11 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(w: T.Words, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of the runs of a slice: anchor, row, first window, hash of the whole run, and number of windows."""
+    """Of the runs of a slice: anchor, row, first window, hash of the whole run, number of windows, second hash."""
     starts = np.flatnonzero(w.whole(length))
     none = np.zeros(0, np.int64)
     if not len(starts):
-        return none.view(np.uint64), none, none, none.view(np.uint64), none
+        return none.view(np.uint64), none, none, none.view(np.uint64), none, none.view(np.uint64)
     # The place, in the low bits, goes with its hash through the minima; equal hashes have one anchor wherever they stand.
     grams = T.rolling(h, ANCHOR) & ~np.uint64(PLACES - 1)
     places = np.arange(len(grams), dtype=np.uint64) & np.uint64(PLACES - 1)
@@ -74,17 +89,27 @@ def _runs(w: T.Words, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(new)
     ends = np.append(at[1:], len(starts))
     first, stop = starts[at], starts[ends - 1] + length
+    whole = [_stretches(x, first, stop) for x in (h, _other(h))]
+    rows = np.searchsorted(w.first, first, "right") - 1
+    return grams[least[at]], rows, first - w.first[rows], whole[0], ends - at, whole[1]
+
+
+def _other(h: np.ndarray) -> np.ndarray:
+    """Second hashes of words."""
+    return T.mix(h ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def _stretches(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``first`` to ``stop``."""
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * T._power(T._BASE, len(h)), out=total[1:])
-    whole = T.mix((total[stop] - total[first]) * T._power(T._BASE_INVERSE, len(h) + 1)[first] + (stop - first).astype(np.uint64))
-    rows = np.searchsorted(w.first, first, "right") - 1
-    return grams[least[at]], rows, first - w.first[rows], whole, ends - at
+    return T.mix((total[stop] - total[first]) * T._power(T._BASE_INVERSE, len(h) + 1)[first] + (stop - first).astype(np.uint64))
 
 
-def _anchor_counts(length: int):
+def _anchor_counts(length: int, merge: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch, copies = _unique_texts(batch)
+            batch, copies = _unique_texts(batch, merge)
             at = 0
             for part in T.slices(batch, "text"):
                 w = T.words(part.column("text"))
@@ -98,79 +123,269 @@ def _anchor_counts(length: int):
     return run
 
 
-def _run_rows(length: int):
+PLACE = ("doc_id", "th", "tl")
+
+
+def _ranks(ids: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """For each row its place in the order of these columns; equal rows share one."""
+    order = np.lexsort((*more[::-1], ids))
+    new = np.any([x[order][1:] != x[order][:-1] for x in (ids, *more)], axis=0) if len(ids) else np.zeros(0, bool)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(np.append(0, new))[: len(ids)]
+    return out
+
+
+def _places(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The ranks of rows by document, as Spark orders them: null ids first."""
+    ids = pa.compute.fill_null(rows["doc_id"], -(1 << 63))
+    return _ranks(*(np.asarray(c) for c in (ids, rows["th"], rows["tl"])))
+
+
+def _run_rows(length: int, merge: bool):
+    """The different runs of a slice of texts: the lowest place of each, how many there are, and the other places."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch, copies = _unique_texts(batch)
+            batch, copies = _unique_texts(batch, merge)
             at = 0
             for part in T.slices(batch, "text"):
                 w = T.words(part.column("text"))
-                anchors, rows, first, whole, windows = _runs(w, w.hashes(), length)
-                pick = pa.array(rows)
-                columns = [pa.array(anchors.view(np.int64)), pa.array(whole.view(np.int64)), *(part.column(c).take(pick) for c in ("doc_id", "th", "tl")), pa.array(first.astype(np.int32)), pa.array(copies[at : at + part.num_rows][rows].astype(np.int32))]
-                columns.append(pa.array(windows.astype(np.int32)))
+                anchors, rows, first, whole, windows, other = _runs(w, w.hashes(), length)
+                own = copies[at : at + part.num_rows][rows]
                 at += part.num_rows
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "whole", "doc_id", "th", "tl", "first", "copies", "windows"])
+                order = np.lexsort((first, _places(part)[rows], other, whole, anchors))
+                anchors, rows, first, whole, windows, other, own = (x[order] for x in (anchors, rows, first, whole, windows, other, own))
+                new = np.ones(len(order), bool)
+                new[1:] = (anchors[1:] != anchors[:-1]) | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])
+                head, rest = np.flatnonzero(new), np.flatnonzero(~new)
+                total = np.add.reduceat(own, head) if len(head) else own
+                place = lambda x: [*(part.column(c).take(pa.array(rows[x])) for c in PLACE), pa.array(first[x].astype(np.int32))]
+                size = np.diff(np.append(head, len(order))) - 1
+                ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32), mask=np.append(size == 0, False))  # no others: null
+                more = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(place(rest), names=[*PLACE, "first"])) if len(head) else pa.nulls(0, MORE)
+                columns = [*(pa.array(x[head].view(np.int64)) for x in (anchors, whole, other)), *place(head)]
+                columns += [pa.array(total.astype(np.int64)), pa.array(windows[head].astype(np.int32)), more]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "whole", "other", *PLACE, "first", "copies", "windows", "more"])
 
     return run
 
 
-def _windows(length: int):
-    """Each window of the runs that a text is to open."""
+MORE = pa.list_(pa.struct([*((c, pa.int64()) for c in PLACE), ("first", pa.int32())]))
+MORE_SQL = "array<struct<doc_id: bigint, th: bigint, tl: bigint, first: int>>"
+RUNS = f"anchor long, whole long, other long, doc_id long, th long, tl long, first int, copies long, windows int, more {MORE_SQL}"
+
+
+def _blocks(length: int):
+    """The runs that a text is the source of, with their words; of hot anchors their windows, with two hashes."""
+    names = ["hot", "anchor", "v", "u", "k", *PLACE, "first", "windows", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 w = T.words(part.column("text"))
-                hashes = T.rolling(w.hashes(), length)
-                rows, starts, counts = [], [], []
-                for i, runs in enumerate(part.column("runs").to_pylist()):
-                    for r in runs:
-                        starts.append(np.arange(r["first"], r["first"] + r["windows"]))
-                        rows.append(np.full(r["windows"], i))
-                        counts.append(np.full(r["windows"], r["k"]))
-                if rows:
-                    rows, starts = np.concatenate(rows), np.concatenate(starts)
-                    pick = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[w.first[rows] + starts].view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64)), *(part.column(c).take(pick) for c in ("doc_id", "th", "tl")), pa.array(starts.astype(np.int32))], names=["window", "k", "doc_id", "th", "tl", "start"])
+                h = w.hashes()
+                lists = part.column("runs")
+                runs, rows = lists.flatten(), np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy())
+                anchor, first, windows, k = (runs.field(c).to_numpy().astype(np.int64) for c in ("anchor", "first", "windows", "k"))
+                hot = runs.field("hot").to_numpy(zero_copy_only=False)
+                for some in (False, True):
+                    own = np.flatnonzero(hot == some)
+                    begin = w.first[rows[own]] + first[own]
+                    if some:
+                        step = np.arange(windows[own].sum()) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
+                        own, begin = np.repeat(own, windows[own]), np.repeat(begin, windows[own]) + step
+                        hashes = [pa.array(T.rolling(x, length)[begin].view(np.int64)) for x in (h, _other(h))]
+                        words, n, start = pa.nulls(len(own), pa.binary()), np.ones(len(own)), first[own] + step
+                    else:
+                        hashes = [pa.nulls(len(own), pa.int64())] * 2
+                        ends = w.ends[begin + windows[own] + length - 2]
+                        words = pa.array([w.data[a:b].tobytes() for a, b in zip(w.starts[begin].tolist(), ends.tolist())], pa.binary())
+                        n, start = windows[own], first[own]
+                    columns = [pa.array(hot[own]), pa.array(anchor[own]), *hashes, pa.array(k[own]), *(part.column(c).take(pa.array(rows[own])) for c in PLACE)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), words], names=names)
+
+    return run
+
+
+@dataclass
+class Reference:
+    """An index of runs: for each window's start, in the order of runs, how many words of it stand at another place."""
+
+    longest: np.ndarray
+    kind: np.ndarray
+    """Equal for equal windows."""
+
+    @classmethod
+    def of(cls, group: np.ndarray, words: pa.Array, windows: np.ndarray, length: int) -> Reference:
+        """``group``: runs of different groups don't match. Word numbers come from the words, so nothing hangs on hashes."""
+        w = T.words(words)
+        sizes = w.ends - w.starts
+        inside = np.repeat(w.starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(w.data[inside])])
+        number = packed.dictionary_encode().indices.to_numpy().astype(np.int64)
+        n = len(number)
+        row = np.repeat(np.arange(len(w.counts)), w.counts)
+        left = np.repeat(w.first[1:], w.counts) - np.arange(n)
+        # Ranks of 1, 2, 4 ... words from each place on; 0 stands for what is behind a run's end.
+        rank = np.zeros(n + 1, np.int64)
+        rank[:n] = np.unique(group[row] * np.int64(n + 1) + number, return_inverse=True)[1] + 1
+        ranks, span, most = [rank], 1, int(w.counts.max(initial=1))
+
+        def after(rank: np.ndarray, step: int) -> np.ndarray:
+            return np.where(left > step, rank[np.minimum(np.arange(n) + step, n)], 0)
+
+        while span < most:
+            rank = np.zeros(n + 1, np.int64)
+            rank[:n] = np.unique(ranks[-1][:n] * np.int64(n + 2) + after(ranks[-1], span), return_inverse=True)[1] + 1
+            ranks.append(rank)
+            span *= 2
+        starts = np.flatnonzero(np.arange(n) - w.first[row] < windows[row])
+        order = starts[np.argsort(ranks[-1][starts], kind="stable")]
+        # Neighbours in the order share the most; how much is found from long to short.
+        x, y = order[:-1].copy(), order[1:].copy()
+        shared = np.zeros(len(x), np.int64)
+        for i in range(len(ranks) - 1, -1, -1):
+            fits = np.minimum(left[x - shared], left[y - shared]) - shared >= 1 << i
+            same = fits & (ranks[i][np.minimum(x, n)] == ranks[i][np.minimum(y, n)])
+            shared += same << i
+            x += same << i
+            y += same << i
+        near = np.zeros(n, np.int64)
+        if len(order) > 1:
+            near[order] = np.maximum(np.append(0, shared), np.append(shared, 0))
+        kind = np.zeros(n, np.int64)
+        kind[order] = np.cumsum(np.append(0, shared < length))[: len(order)]
+        return cls(near[starts], kind[starts])
+
+
+def parse(longest: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of runs, one after the other in ``longest``: row, first word and words of each, in the order of their places.
+
+    A place without a match is a factor of one word. The last factor of a run may go on to the end of its words.
+    """
+    begin = np.cumsum(windows) - windows
+    rows, at = np.arange(len(windows)), np.zeros(len(windows), np.int64)
+    found = []
+    while len(rows):
+        n = np.maximum(1, longest[begin[rows] + at])
+        found.append(np.stack([rows, at, n]))
+        at = at + n
+        more = at < windows[rows]
+        rows, at = rows[more], at[more]
+    every = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return tuple(every[:, np.lexsort((every[1], every[0]))])
+
+
+def matched(longest: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Which windows stand at another place too: those in long factors, and of those over a boundary the ones that the check finds."""
+    row, first, n = parse(longest, windows, length)
+    begin = np.cumsum(windows) - windows
+    out = np.zeros(len(longest) + 1, np.int64)
+    long = n >= length
+    np.add.at(out, begin[row[long]] + first[long], 1)
+    np.add.at(out, np.minimum(begin[row[long]] + first[long] + n[long] - length + 1, (begin + windows)[row[long]]), -1)
+    out = np.cumsum(out[:-1]) > 0
+    # Windows that begin in a factor and end behind it.
+    a = np.where(long, first + n - length + 1, first + 1)
+    b = np.minimum(first + n, windows[row])
+    count = np.maximum(0, b - a)
+    check = np.repeat(begin[row] + a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    out[check] |= longest[check] >= length
+    return out
+
+
+SPANS = "doc_id long, th long, tl long, start int, windows int, first boolean, source_id long, source_start int"
+
+
+def _parsed(length: int):
+    """Spans of a block's runs. Of runs that have whole copies only those that aren't first: the others are known."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group = np.unique(table["anchor"].to_numpy(), return_inverse=True)[1]
+        windows, k, start = (table[c].to_numpy().astype(np.int64) for c in ("windows", "k", "first"))
+        words = table["words"].combine_chunks().cast(pa.large_binary())
+        text = pa.LargeStringArray.from_buffers(len(words), *words.buffers()[1:], offset=words.offset)
+        index = Reference.of(group, text, windows, length)
+        hit = matched(index.longest, windows, length)
+        row = np.repeat(np.arange(len(windows)), windows)
+        place = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        rank = _places(table)
+        # The lowest place of each kind of window.
+        order = np.lexsort((place, rank[row], index.kind))
+        lowest = np.empty(len(row), np.int64)
+        if len(row):
+            new = np.append(True, index.kind[order][1:] != index.kind[order][:-1])
+            lowest[order] = order[new][np.cumsum(new) - 1]
+        first = (rank[row] == rank[row[lowest]]) & (place == place[lowest])
+        hit &= ~first | (k[row] == 1)
+        source = place - place[lowest] + rank[row[lowest]] * np.int64(1 << 32)
+        at = np.flatnonzero(hit)
+        new = np.ones(len(at), bool)
+        if len(at) > 1:
+            new[1:] = (at[1:] != at[:-1] + 1) | (row[at][1:] != row[at][:-1]) | (first[at][1:] != first[at][:-1]) | (source[at][1:] != source[at][:-1])
+        head = at[new]
+        size = np.diff(np.append(np.flatnonzero(new), len(at)))
+        pick, of = pa.array(row[head]), pa.array(row[lowest[head]])
+        columns = [*(table[c].take(pick) for c in PLACE), pa.array(place[head].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(first[head])]
+        return pa.table([*columns, table["doc_id"].take(of), pa.array(place[lowest[head]].astype(np.int32))], names=[*PLACE, "start", "windows", "first", "source_id", "source_start"])
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, scratch: Scratch | None = None) -> DataFrame:
-    """Factors: th, tl (hash and bytes of the text), start (its first word), windows (words less ``length`` - 1), source_id, source_start."""
+def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, each_row: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, th, tl (hash and bytes of the text), start (its first word), windows (words less ``length`` - 1), first, source_id, source_start.
+
+    ``each_row``: spans are of each row; else of each text, with the id of one of the rows that have it.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "dedup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.octet_length(text_col).cast("bigint").alias("tl"), F.col(text_col).alias("text")).where("text is not null")
-    shared = texts.select("th", "tl", "text").mapInArrow(T.tidy(_anchor_counts(length)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    counted = texts.select("th", "tl", "text").mapInArrow(T.tidy(_anchor_counts(length, not each_row)), "anchor long, n long")
+    shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     shared = scratch.save(shared, "anchors")  # aggregates are written before they are joined: only a plain join's hot keys can be split
-    rows = texts.mapInArrow(T.tidy(_run_rows(length)), "anchor long, whole long, doc_id long, th long, tl long, first int, copies int, windows int")
+    rows = texts.mapInArrow(T.tidy(_run_rows(length, not each_row)), RUNS)
     found = scratch.save(rows.join(shared, "anchor"), "runs")
 
-    place = F.struct("doc_id", "th", "tl", "first")
-    runs = scratch.save(found.groupBy("anchor", "whole").agg(F.sum("copies").alias("k"), F.min(place).alias("source")), "sources")
-    mixed = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    mixed = scratch.save(mixed, "mixed")
-    found = found.join(runs, ["anchor", "whole"])
-    wholes = scratch.save(found.where("k > 1").select("th", "tl", F.col("first").alias("start"), "windows", F.col("source.doc_id").alias("source_id"), F.col("source.first").alias("source_start")), "wholes")
-    # A run is opened where its anchor has another run; a copied one only at its source, for others to find.
-    sources = found.where(F.expr("struct(doc_id, th, tl, first)").eqNullSafe(F.col("source"))).join(mixed, "anchor")
-    wanted = scratch.save(sources.groupBy("doc_id", "th", "tl").agg(F.collect_set(F.struct("first", "windows", "k")).alias("runs")), "wanted")
-    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"]) & (texts["tl"] == wanted["tl"])
-    opened = texts.join(wanted, same).select(texts["doc_id"], texts["th"], texts["tl"], "text", "runs").mapInArrow(T.tidy(_windows(length)), "window long, k long, doc_id long, th long, tl long, start int")
-    opened = scratch.save(opened.dropDuplicates(["window", "doc_id", "th", "tl", "start"]), "windows")
+    place = F.struct(*PLACE, "first")
+    kinds = ["anchor", "whole", "other"]
+    runs = scratch.save(found.groupBy(*kinds).agg(F.sum("copies").alias("k"), F.min(place).alias("source"), F.first("windows").alias("windows")), "sources")
+    mixed = scratch.save(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    source = [F.col("source.doc_id").alias("source_id"), F.col("source.first").alias("source_start")]
+    copied = found.join(runs.where("k > 1").drop("windows"), kinds)
+    each = F.explode(F.concat(F.array(place), F.coalesce("more", F.array().cast(MORE_SQL)))).alias("place")
+    wholes = copied.select(each, "windows", "source").select(*(F.col(f"place.{c}").alias(c) for c in PLACE), F.col("place.first").alias("start"), "windows", F.col("place").eqNullSafe(F.col("source")).alias("first"), *source)
+    wholes = scratch.save(wholes, "wholes")
+    # Each different run of an anchor that has another goes to the anchor's block, from its source.
+    several = runs.join(mixed, "anchor").withColumn("hot", F.col("kinds") > HOT)
+    wanted = several.groupBy(*(F.col(f"source.{c}").alias(f"__{c}") for c in PLACE)).agg(F.collect_set(F.struct("anchor", F.col("source.first").alias("first"), "windows", "k", "hot")).alias("runs"))
+    wanted = scratch.save(wanted, "wanted")
+    same = texts["doc_id"].eqNullSafe(wanted["__doc_id"]) & (texts["th"] == wanted["__th"]) & (texts["tl"] == wanted["__tl"])
+    blocks = texts.join(wanted, same).select(*PLACE, "text", "runs").mapInArrow(T.tidy(_blocks(length)), "hot boolean, anchor long, v long, u long, k long, doc_id long, th long, tl long, first int, windows int, words binary")
+    blocks = scratch.save(blocks, "blocks")
     scratch.drop("anchors", "runs", "sources", "mixed", "wanted")
-    repeated = opened.groupBy("window").agg(F.sum("k").alias("n"), F.min(F.struct("doc_id", "start")).alias("source")).where("n > 1")
+    plain = blocks.where("not hot").drop("hot", "v", "u").dropDuplicates(["anchor", *PLACE, "first"])  # rows that are equal in id and text
+    count = -(-blocks.where("not hot").count() // BLOCK_ROWS) or 1
+    parsed = plain.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(count))).groupBy("block").applyInArrow(_parsed(length), SPANS)
+    parsed = scratch.save(parsed, "parsed")
+    hot = blocks.where("hot").select("v", "u", "k", *PLACE, "first")
+    hot = scratch.save(hot.dropDuplicates(["v", "u", *PLACE, "first"]), "windows")
+    repeated = hot.groupBy("v", "u").agg(F.sum("k").alias("n"), F.min(place).alias("source")).where("n > 1")
     repeated = scratch.save(repeated, "repeated")
-    single = opened.where("k = 1").join(repeated.select("window", "source"), "window").select("th", "tl", "start", F.lit(1).alias("windows"), F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
-    return wholes.union(single)
+    here = place.eqNullSafe(F.col("source"))
+    single = hot.join(repeated, ["v", "u"]).where((F.col("k") == 1) | ~here).select(*PLACE, F.col("first").alias("start"), F.lit(1).alias("windows"), here.alias("first"), *source)
+    return wholes.union(parsed).union(single)
 
 
-def _with_spans(docs: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with ``__spans``, the starts and numbers of windows; null where there is none."""
-    spans = scratch.save(spans.groupBy("th", "tl").agg(F.collect_set(F.struct("start", "windows")).alias("__spans")), "spans")
-    spans = spans.withColumnsRenamed({"th": "__th", "tl": "__tl"})
-    return docs.withColumns({"__th": F.xxhash64(text_col), "__tl": F.octet_length(text_col).cast("bigint")}).join(spans, ["__th", "__tl"], "left").drop("__th", "__tl")
+def _with_spans(docs: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch, id_col: str | None = None) -> DataFrame:
+    """docs with ``__spans``, the starts and numbers of windows; null where there is none. By text, or with ``id_col`` by row."""
+    keys = ["th", "tl"] if id_col is None else ["doc_id", "th", "tl"]
+    spans = scratch.save(spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "windows")).alias("__spans")), "spans")
+    spans = spans.withColumnsRenamed({k: f"__{k}" for k in keys})
+    of = (F.xxhash64(text_col) == F.col("__th")) & (F.octet_length(text_col) == F.col("__tl"))
+    if id_col is not None:
+        of &= F.col(id_col).cast("bigint").eqNullSafe(F.col("__doc_id"))
+    return docs.join(spans, of, "left").drop(*(f"__{k}" for k in keys))
 
 
 def _removed(spans: list[dict] | None, n: int, length: int) -> np.ndarray:
@@ -204,8 +419,8 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return _with_spans(docs, "text", spans, scratch).mapInArrow(T.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35) -> DataFrame:
-    """The same rows and columns, with the duplicate spans cut out of the text; white space between kept words stays."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, keep_first: bool = False) -> DataFrame:
+    """The same rows and columns, with the duplicate spans cut out of the text (with ``keep_first`` not at a passage's lowest place); white space between kept words stays."""
     scratch = Scratch(docs.sparkSession, "dedup")
     at = docs.columns.index(text_col)
 
@@ -226,5 +441,6 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
-    spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, length=length, scratch=scratch)
-    return _with_spans(docs, text_col, spans, scratch).select(*docs.columns, "__spans").mapInArrow(T.tidy(run), docs.schema)
+    spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, length=length, each_row=keep_first, scratch=scratch)
+    spans = spans.where("not first") if keep_first else spans
+    return _with_spans(docs, text_col, spans, scratch, id_col if keep_first else None).select(*docs.columns, "__spans").mapInArrow(T.tidy(run), docs.schema)

@@ -485,3 +485,128 @@ def test_jaccard_equal_and_null_ids(spark):
     assert got == sorted(map(str, [(5, 36, 5), (5, 26, 3), (3, 26, 3), (7, 36, 5), (None, 36, 5), (None, 1, None), (5, 26, 3), (8, 0, 8), (8, 0, 8)]))
     kept = [tuple(r) for r in jaccard_join.deduplicated(df).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [(None, " ".join(base)), (3, other), (None, "alone here"), (8, None)]))
+
+
+def brute_windows(runs, windows, n):
+    """For each window's start: the longest match elsewhere in its group, by words."""
+    out = []
+    for i, (g, a) in enumerate(runs):
+        for x in range(windows[i]):
+            best = 0
+            for j, (f, b) in enumerate(runs):
+                for y in range(windows[j]):
+                    if f == g and (i, x) != (j, y):
+                        k = 0
+                        while x + k < len(a) and y + k < len(b) and a[x + k] == b[y + k]:
+                            k += 1
+                        best = max(best, k)
+            out.append(best)
+    return out
+
+
+def test_lempel_ziv_factors():
+    rng = random.Random(12)
+    for trial in range(30):
+        n = rng.choice([3, 6])
+        base = [rng.choice("abc") * rng.randint(1, 2) for _ in range(20)]
+        runs = []
+        for _ in range(rng.randint(1, 9)):
+            a = rng.randrange(10)
+            w = base[a : a + n + rng.randint(0, 8)]
+            w += ["z"] * (n - len(w))
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = "y"
+            runs.append((rng.randrange(2), w))
+        windows = np.array([len(w) - n + 1 for _, w in runs])
+        index = substring_dedup.Reference.of(np.array([g for g, _ in runs]), pa.array([" \t".join(w) for _, w in runs], pa.large_string()), windows, n)
+        want = brute_windows(runs, windows.tolist(), n)
+        assert index.longest.tolist() == want
+        row, first, size = (x.tolist() for x in substring_dedup.parse(index.longest, windows, n))
+        begin = np.cumsum(windows) - windows
+        for i, r in enumerate(row):  # each factor is the longest there, and the next one begins where it ends
+            assert size[i] == max(1, want[begin[r] + first[i]])
+            if i + 1 < len(row) and row[i + 1] == r:
+                assert first[i + 1] == first[i] + size[i]
+            else:
+                assert first[i] + size[i] >= windows[r]
+        assert substring_dedup.matched(index.longest, windows, n).tolist() == [x >= n for x in want]
+
+
+@pytest.mark.parametrize(("hot", "rows"), [(0, 4096), (2, 3), (256, 7)])
+def test_substring_dedup_of_hot_anchors(spark, docs, monkeypatch, hot, rows):
+    """Whether by blocks or by windows: the same words go; and with keep_first each passage stays once."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", rows)
+    want = brute_removed(corpus())
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.digests(docs).collect()} == {k: v[1] for k, v in want.items()}
+    out = sorted((r["doc_id"], r["text"]) for r in substring_dedup.dedup(docs, keep_first=True).collect() if r["text"])
+    all_words = {i: WORD.findall(t or "") for i, t, *_ in corpus()}
+    first = {}
+    for i in sorted(all_words):
+        for j in range(len(all_words[i]) - 34):
+            first.setdefault(tuple(all_words[i][j : j + 35]), (i, j))
+    kept = {}
+    for i, w in all_words.items():
+        gone = {j + k for j in range(len(w) - 34) if first[tuple(w[j : j + 35])] != (i, j) for k in range(35)}
+        kept[i] = [x for j, x in enumerate(w) if j not in gone]
+    same = {r[0] for r in corpus() if [x[1] for x in corpus()].count(r[1]) > 1 and r[1]}
+    assert {i: WORD.findall(t) for i, t in out if WORD.findall(t) and i not in same} == {i: w for i, w in kept.items() if w and i not in same}
+
+
+def test_decontamination_recall(spark):
+    """Copies with as many edits as are allowed, inside other text: at least nine in ten of each size."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    sizes = [7, 9, 13, 18, 25, 40, 64, 65, 150, 400]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate(sizes)]
+    rows, want = [], []
+    for i in range(300):
+        k = i % len(sizes)
+        item = items[k][1].split()
+        for _ in range(int(0.15 * len(item))):
+            at, kind = rng.randrange(len(item)), rng.randrange(3)
+            item[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice(words)]
+        rows.append((i, " ".join([rng.choice(words) for _ in range(40)] + item + [rng.choice(words) for _ in range(40)])))
+        want.append((i, k))
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(50)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True).collect()}
+    assert not {x for x in got if x[0] >= 1000}
+    for k in range(len(sizes)):
+        own = [x for x in want if x[1] == k]
+        assert sum(x in got for x in own) >= 0.9 * len(own), sizes[k]
+
+
+def test_decontamination_odd_items(spark):
+    """Short items word for word, repetitive and long ones in bounded time, repeated rows, clashing names."""
+    import time
+
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000))
+    items = [(1, "two words"), (2, "One"), (3, "x " * 100), (4, long), (4, long), (5, None), (6, " .,; ")]
+    rows = [(1, "has two, words here", "a"), (2, "two other words", "a"), (3, "x " * 8000, "a"), (4, "start " + long.replace("w1", "v1") + " end", "a"), (5, None, None), (6, "", "a"), (7, "the one", "b"), (7, "the one", "b")]
+    began = time.time()
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True, edits=0.15).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 3), (4, 4), (7, 2)} and sum(r["doc_id"] == 7 for r in got) == 2
+    assert time.time() - began < 120
+    with pytest.raises(ValueError, match="repeats find"):
+        decontaminate.Index.of([1], [" ".join(f"a{i}" for i in range(60))], 0.9, 1, True, 0.999)
+
+
+def test_lm_tables(spark):
+    """Tables by hash agree with Spark's own hash, and repeated and equal ids are documents of their own."""
+    from pyspark.sql import functions as F
+
+    a, b = np.array([5, 2**63 + 9], np.uint64), np.array([7, 1], np.uint64)
+    rows = [(int(x.view(np.int64)), int(y.view(np.int64))) for x, y in zip(a, b)]
+    assert [r[0] for r in spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b")).collect()] == lm_scoring.joined(a, b).view(np.int64).tolist()
+    rows = [(1, "a b a b"), (1, "a b a b"), (1, "c c"), (None, "a b"), (None, None), (2, ""), (3, "b " * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3):
+        model = lm_scoring.LanguageModel(df, parts=parts)
+        counts = Counter(tuple(w[i : i + n]) for w in ((t or "").split() for _, t in rows) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+        assert sorted(r["n"] for r in model.counts(2).collect()) == sorted(v for k, v in counts.items() if len(k) == 2 and v > 1)
+        got = model.scores(df, model.sizes).collect()
+        assert len(got) == len(rows) and len({r["log_score"] for r in got if r["doc_id"] == 1}) == 2
+        total = sum(v for k, v in counts.items() if len(k) == 1)
+        own = next(r for r in got if r["doc_id"] is None and r["n_words"])
+        assert own["log_score"] == pytest.approx(math.log(counts["a",] / total) + math.log(counts["a", "b"] / counts["a",]))
