@@ -36,8 +36,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
-    return decontaminate.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), free_ends=True)
+    """Drops documents that hold an item of the benchmark of at least five words: shorter ones are common turns of phrase."""
+    return decontaminate.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), free_ends=True, min_words=5)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
