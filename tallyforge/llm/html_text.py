@@ -14,7 +14,9 @@ is the threshold above which other subtrees are taken too, each by its own large
 stands for the whole article.
 
 Character references are decoded; white space in a block becomes one space; blocks are joined by an empty line, in the
-order of the page. Null and empty pages give an empty text. A page is taken whole, however long or deep.
+order of the page. Null and empty pages give an empty text. A page is taken whole, however long or deep. Of nodes with
+equal sums the first on the page counts. Repeated rows give repeated results, an empty table an empty one; other columns
+are ignored, whatever their names, but for those of ``keep``, which mustn't be called text or n_chars.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "thead": ("tr",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
 
-DROPPED = frozenset("head script style noscript template svg math canvas object iframe nav footer aside button select textarea input dialog menu audio video noembed noframes datalist title".split())
+DROPPED = frozenset("head script style noscript template svg annotation annotation-xml canvas object iframe nav footer aside button select textarea input dialog menu audio video noembed noframes datalist title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Words in a class or id that name what isn't main text.
 DROPPED_NAMES = frozenset(
