@@ -63,8 +63,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no DataFrame needs any more; without names the whole folder."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
-            path.getFileSystem(conf).delete(path, True)
+        """Deletes tables that no DataFrame needs any more."""
+        for name in names:
+            self._delete(self.path(name))
+
+    def clear(self) -> None:
+        """Deletes all tables, when nothing needs them any more."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -601,11 +601,12 @@ def test_lm_tables(spark):
     assert [r[0] for r in spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b")).collect()] == lm_scoring.joined(a, b).view(np.int64).tolist()
     rows = [(1, "a b a b"), (1, "a b a b"), (1, "c c"), (None, "a b"), (None, None), (2, ""), (3, "b " * 900)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for parts in (1, 3):
-        model = lm_scoring.LanguageModel(df, parts=parts)
+    for sent in (0, 1, 100):
+        model = lm_scoring.LanguageModel(df, sent=sent)
         counts = Counter(tuple(w[i : i + n]) for w in ((t or "").split() for _, t in rows) for n in (1, 2, 3) for i in range(len(w) - n + 1))
-        assert sorted(r["n"] for r in model.counts(2).collect()) == sorted(v for k, v in counts.items() if len(k) == 2 and v > 1)
-        got = model.scores(df, model.sizes).collect()
+        got = model.scores(keep=True).collect()
+        for n in (1, 2, 3):
+            assert sorted(r["n"] for r in model.table(n).collect()) == sorted(v for k, v in counts.items() if len(k) == n and (n == 1 or v > 1))
         assert len(got) == len(rows) and len({r["log_score"] for r in got if r["doc_id"] == 1}) == 2
         total = sum(v for k, v in counts.items() if len(k) == 1)
         own = next(r for r in got if r["doc_id"] is None and r["n_words"])
