@@ -8,7 +8,9 @@ hash of the row. Each round is one scan of a narrow table (no texts) whose count
 driver sees at most ``BINS`` sums for each node.
 
 Null texts have no bytes, and each row weighs one byte more than its text. Null metadata count as 0. Repeated rows
-are rows of their own. An empty table gives none.
+are rows of their own, and an empty table gives none. Which of rows with equal metadata goes left is decided by a hash of
+the place where the row is read, once, when the first level is written: another layout of the files deals such ties
+differently, a lost executor doesn't. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

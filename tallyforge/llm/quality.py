@@ -8,7 +8,9 @@ the log ratio of the classes' sizes, divided by a temperature that leaves its si
 
 Null and empty texts have statistics of zero and are scored like any other. If fewer than two rows of a class are
 labelled, every text scores the share of label 1 among the labelled (0.5 without any). Labels other than 0 and 1
-are ignored. Extra columns stay as they are.
+are ignored. Every row of ``documents`` that a labelled id has counts, so repeated rows, of documents or of labels, weigh as
+often as they stand there; each row gets its own score. A score of exactly 0.5 is accepted. An empty table of documents
+gives an empty one. A text of any length is taken whole. Extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ No piece has U+2581 after another character, so a text falls into units (U+2581s
 that can be encoded one by one; a bounded memory keeps short ones. Where a vocabulary has other pieces, the whole
 text is one unit.
 
-Null and empty texts give no pieces and decode to an empty text. U+2581 in a text decodes to a space.
+Null and empty texts give no pieces and decode to an empty text. U+2581 in a text decodes to a space. A text of any
+length is taken whole. Repeated rows give repeated results, an empty table an empty one. Other columns are kept whatever
+their names, but one that is called as the new column is replaced.
 """
 
 from __future__ import annotations
@@ -163,7 +165,7 @@ def decode(df: DataFrame, model: str, *, ids_col: str = "piece_ids", out_col: st
 
 
 def digests(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces, n_bytes_pieces, ids_crc32 of the ids, and decoded_crc32 of the text decoded from them."""
+    """doc_id, n_pieces, ids_crc32 of the ids, and decoded_chars and decoded_crc32 of the text decoded from them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model)

@@ -601,8 +601,8 @@ def test_lm_tables(spark):
     assert [r[0] for r in spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b")).collect()] == lm_scoring.joined(a, b).view(np.int64).tolist()
     rows = [(1, "a b a b"), (1, "a b a b"), (1, "c c"), (None, "a b"), (None, None), (2, ""), (3, "b " * 900)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for sent in (0, 1, 100):
-        model = lm_scoring.LanguageModel(df, sent=sent)
+    for sent, bucket in ((0, 10**6), (1, 3), (100, 40), (0, 7)):
+        model = lm_scoring.LanguageModel(df, sent=sent, bucket=bucket)
         counts = Counter(tuple(w[i : i + n]) for w in ((t or "").split() for _, t in rows) for n in (1, 2, 3) for i in range(len(w) - n + 1))
         got = model.scores(keep=True).collect()
         for n in (1, 2, 3):
@@ -611,3 +611,114 @@ def test_lm_tables(spark):
         total = sum(v for k, v in counts.items() if len(k) == 1)
         own = next(r for r in got if r["doc_id"] is None and r["n_words"])
         assert own["log_score"] == pytest.approx(math.log(counts["a",] / total) + math.log(counts["a", "b"] / counts["a",]))
+
+
+def test_pipeline_stages_by_brute_force(spark, none):
+    """Repeated rows, null ids and texts, empty texts: each stage by itself against plain Python, and over an empty table."""
+    import corpus_pipeline
+
+    near, cut = corpus_pipeline.near_copies, corpus_pipeline.repeated_passages
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, long[0]), (1, long[0]), (2, long[1]), (3, long[1]), (9, long[2]), (None, long[2] + " end"), (None, None), (5, None), (6, ""), (6, ""), (7, " \t"), (8, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = near(spark, docs, "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    got = sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect())))
+    assert got == sorted(map(str, [(1, long[0]), (2, long[1]), (None, long[2] + " end"), (None, None), (5, None), (6, ""), (7, " \t"), (8, "few words")]))
+    # What stays after the first stage has no repeats any more, so nothing is cut.
+    after = sorted(map(str, ((r["doc_id"], r["text"], r["n_chars"]) for r in cut(spark, kept, "").collect())))
+    assert after == sorted(map(str, ((i, t, None if t is None else len(t)) for i, t in ((r["doc_id"], r["text"]) for r in kept.collect()))))
+    # Every other corpus: the words that the contract of op6 keeps.
+    rows = [r for r in corpus() if r[0] not in (5, 66)]
+    want = {i: v[3] for i, v in brute_removed(rows).items()}
+    out = {r["doc_id"]: " ".join(WORD.findall(r["text"] or "")) for r in cut(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    gone = {r[0] for r in rows if r[1] and not want[r[0]].strip()}
+    assert out == {i: t for i, t in want.items() if i not in gone}
+    empty = none.select(*corpus_pipeline.COLUMNS)
+    assert near(spark, empty, "").count() == 0 and cut(spark, empty, "").count() == 0 and corpus_pipeline.encoding(spark, empty, "").count() == 0
+
+
+def test_quality_by_brute_force(spark):
+    """The score from its definition: class means and shrunk covariances, log densities by inverse and determinant."""
+    rng = np.random.default_rng(4)
+    n, d = 300, len(quality.NAMES)
+    x = rng.normal(0, 1, (n, d)) + np.outer(np.arange(n) % 3 == 0, np.linspace(0, 1.5, d))
+    y = (np.arange(n) % 3 != 0).astype(int)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    got = quality.fit(df, labels).score(x)
+    z = (x - x.mean(0)) / x.std(0)
+    cov = {k: np.cov(z[y == k].T, bias=True) for k in (0, 1)}
+    pooled = sum((y == k).sum() * cov[k] for k in cov) / n
+    log = {}
+    for k in (0, 1):
+        s = (1 - quality.SHRINK_POOLED) * cov[k] + quality.SHRINK_POOLED * pooled
+        s = (1 - quality.SHRINK_UNIT) * s + quality.SHRINK_UNIT * np.trace(s) / d * np.eye(d)
+        off = z - z[y == k].mean(0)
+        log[k] = np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(s), off)
+    assert np.allclose(got, 1 / (1 + np.exp(-(log[1] - log[0]) / quality.TEMPERATURE)))
+
+
+def test_quality_statistics_by_hand():
+    """Word counts, repeats and kinds of letters of odd texts, one at a time and together."""
+    texts = ["", "a", "A b! C? 12 12 | |", "é é\tü", "x " * 500, None, "Hello, world.\nHello again."]
+    every = quality.statistics(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert np.allclose(quality.statistics(pa.array([t], pa.string()))[0], every[i])
+        words = WORD.findall(t or "")
+        assert every[i][0] == pytest.approx(math.log1p(len(words)))
+        assert every[i][1] == pytest.approx(math.log1p(len((t or "").encode()) / max(1, len(words))))
+        assert every[i][2] == pytest.approx(math.log1p(len(set(words))) / math.log1p(max(1, len(words))))
+
+
+def test_kd_shards_by_brute_force(spark):
+    """Splits at weighted medians along the widest dimension, one node after the other in plain Python."""
+    rng = random.Random(17)
+    rows = [(i, "x" * rng.choice([0, 3, 40, 900]), rng.choice("pq"), rng.choice("uvw")) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = kd_shards.shard_documents(df, 8).collect()
+    size = {i: len(t) + 1 for i, t, *_ in rows}
+    point = {i: (i, len(t), zlib.crc32(s.encode()), zlib.crc32(g.encode())) for i, t, g, s in rows}
+    whole = [max(p[k] for p in point.values()) - min(p[k] for p in point.values()) for k in range(4)]
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    for bits in (3, 2, 1):  # from the root down: the two sides of each node
+        sides = {}
+        for i, s in shard.items():
+            sides.setdefault(s >> bits, ([], []))[s >> (bits - 1) & 1].append(i)
+        for left, right in sides.values():
+            own = left + right
+            spread = [(max(point[i][k] for i in own) - min(point[i][k] for i in own)) / max(1, whole[k]) for k in range(4)]
+            k = max(range(4), key=lambda k: (spread[k], -k))
+            assert max(point[i][k] for i in left) <= min(point[i][k] for i in right)
+            a, b = sum(size[i] for i in left), sum(size[i] for i in right)
+            assert abs(a - b) <= 2 * max(size[i] for i in own) + 4e-4 * (a + b)
+
+
+def test_sentencepiece_of_random_texts():
+    """The best score of a plain Viterbi over all pieces, for random texts of many scripts."""
+    codec = sentencepiece_codec.Codec.of(tokenizer("piece_bpe_32k.model"))
+    score = {codec.pieces[i]: codec.automaton.get(codec.pieces[i])[1] for i, ok in enumerate(codec.plain) if ok}
+    longest = max(map(len, score))
+    rng = random.Random(23)
+    signs = ["a", "the", " ", "ing", "é", "ß", "日", "本", "\U0001f600", "\n", "\t", "0", "42", ".", "▁", "и", "ка", "  ", "\x00", "़"]
+    for _ in range(300):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 25)))
+        ids = codec.encode(t).tolist()
+        assert codec.decode(ids) == t.replace("▁", " ")
+        if not t:
+            continue
+        s = "▁" + t.replace(" ", "▁")
+        best = [0.0] + [-math.inf] * len(s)
+        for j in range(1, len(s) + 1):
+            for i in range(max(0, j - longest), j):
+                if s[i:j] in score:
+                    best[j] = max(best[j], best[i] + score[s[i:j]])
+            if s[j - 1] not in codec.singles:
+                best[j] = max(best[j], best[j - 1] + codec.unknown)
+        own, held = 0.0, 0
+        for i in ids:
+            if i in codec.bytes_of:
+                held += (codec.bytes_of[i] & 0xC0) != 0x80
+            else:
+                own += score[codec.pieces[i]]
+        assert own + held * codec.unknown == pytest.approx(best[-1])
