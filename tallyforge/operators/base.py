@@ -9,7 +9,8 @@ import logging
 from abc import ABC, abstractmethod
 from typing import Any, ClassVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge.config import ErrorsConfig, Processor as Config
 from tallyforge.patterns import select_names
@@ -19,6 +20,13 @@ KEYS = (SELECTION, SELECTION_IX)
 log = logging.getLogger("tallyforge")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The table, computed once: written where ``spark.checkpoint.dir`` says, or else kept by Spark, which makes lost parts anew."""
+    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist()
+
+
 class MissingColumn(KeyError):
     pass
 
@@ -62,6 +70,20 @@ class FeatureProcessor(Processor):
     @abstractmethod
     def add(self, df: DataFrame) -> DataFrame: ...
 
+    def failed(self, df: DataFrame) -> list[Column]:
+        """For each input column: is this row's value one that couldn't be made?"""
+        return []
+
+    def failures(self, df: DataFrame) -> tuple[int, int]:
+        """How many rows of ``df``, which has the generated columns, have nothing, of how many; raises beyond the rate that is allowed (ERR-2)."""
+        bad = self.failed(df)
+        if not bad:
+            return 0, 0
+        row = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(f"bad{i}") for i, c in enumerate(bad))).first()
+        most = max(row[1:])
+        self.check_rate(most, row["n"])
+        return most, row["n"]
+
     def output_name(self, column: str, key: str) -> str:
         """PRJ-3."""
         c = self.config.columns

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyforge.config import EmbeddingConfig, InferConfig, ModelConfig
 from tallyforge.functions import images
 from tallyforge.operators.base import FeatureProcessor
-from tallyforge.operators.visual import load_files
+from tallyforge.operators.visual import load_files, strict_files
 from tallyforge.registry import register
 
 #: From layer to vectors and channels for a stack of pictures: (n, 3, height, width).
@@ -104,10 +104,15 @@ class Embeddings(FeatureProcessor):
             self._made[key] = make(self.config.model, self.config.infer)
         return self._made[key]
 
+    def failed(self, df: DataFrame) -> list[Column]:
+        """A vector of zeros stands for a picture that couldn't be read."""
+        first = [self.output_name(c, self.keys()[0]) for c in self.columns(df)]
+        return [F.forall(f"`{n}`", lambda x: x == 0) for n in first if n in df.columns]
+
     def add(self, df: DataFrame) -> DataFrame:
         for column in self.columns(df):
             if dict(df.dtypes)[column] == "string":
-                df = self._add(load_files(df.withColumn("__shown", F.col(f"`{column}`")), column), column).withColumn(column, F.col("__shown")).drop("__shown")
+                df = self._add(load_files(df.withColumn("__shown", F.col(f"`{column}`")), column, strict_files(self.errors)), column).withColumn(column, F.col("__shown")).drop("__shown")
             else:
                 df = self._add(df, column)
         return df

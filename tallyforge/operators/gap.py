@@ -12,18 +12,21 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.config import DomainGapConfig, HistogramSummaryConfig, KernelParams
 from tallyforge.functions import stats
-from tallyforge.operators.base import KEYS, GapProcessor
+from tallyforge.operators.base import KEYS, GapProcessor, held
 from tallyforge.registry import register
 
 FLOOR = 1e-9
 TILE = 2048
 FOLDS = 5
+STRIP = 64
+FAN = 256
 # Channels of a ResNet-18's layers.
 CHANNELS = {"layer1": 64, "layer2": 128, "layer3": 256, "layer4": 512, "avgpool": 512}
 PAIR = ("selection_source", "selection_target")
@@ -41,30 +44,36 @@ def moments(rows: DataFrame) -> DataFrame:
     return x.groupBy(*KEYS, "pos").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
 
 
-def outer_sums(rows: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """GAP-S2: n, sum and sum of products of each selection; partitions give matrices, which are added by elements."""
+def outer_sums(rows: DataFrame) -> DataFrame:
+    """GAP-S2: selection, strip, start, n, s, ss: the sums of products of each selection, ``STRIP`` rows of the matrix to a strip.
+
+    Partitions give matrices, which are added by strips and in two steps, so no task holds more than a strip of ``FAN`` partitions.
+    """
+    schema = "selection string, strip int, part int, n long, s binary, ss binary"
+    arrow = pa.schema([("selection", pa.string()), ("strip", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("s", pa.binary()), ("ss", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
         for batch in batches:
             names = np.array(batch.column("selection").to_pylist(), object)
             for name in dict.fromkeys(names.tolist()):
                 own = batch.filter(pa.array(names == name)).column("v")
                 m = np.asarray(own.flatten()).reshape(len(own), -1)
-                held[name] = held.get(name, 0) + np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()])
-        for name, values in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.arange(len(values))), pa.array(values)], names=["selection", "i", "value"])
-
-    out: dict[str, list[tuple[int, float]]] = {}
-    parts = rows.select("selection", "v").mapInArrow(run, "selection string, i long, value double")
-    for r in parts.groupBy("selection", "i").agg(F.sum("value").alias("value")).collect():  # selections x (D^2 + D + 1)
-        out.setdefault(r["selection"], []).append((r["i"], r["value"]))
-    found = {}
-    for name, pairs in out.items():
-        flat = np.array([v for _, v in sorted(pairs)])
-        d = round((-1 + (1 + 4 * (len(flat) - 1)) ** 0.5) / 2)
-        found[name] = (int(flat[0]), flat[1 : 1 + d], flat[1 + d :].reshape(d, d))
-    return found
+                n, s, ss = held.get(name, (0, 0.0, 0.0))
+                held[name] = [n + len(m), s + m.sum(axis=0), ss + m.T @ m]
+        part = TaskContext.get().partitionId()
+        for name, (n, s, ss) in held.items():
+            for strip, at in enumerate(range(0, len(s), STRIP)):
+                yield pa.RecordBatch.from_pylist([{"selection": name, "strip": strip, "part": part // FAN, "n": n, "s": s.tobytes(), "ss": ss[at : at + STRIP].tobytes()}], schema=arrow)
+
+    def add(table: pa.Table) -> pa.Table:
+        s, ss = (sum(np.frombuffer(x.as_buffer()) for x in table[c]) for c in ("s", "ss"))
+        return pa.table({"selection": table["selection"][:1], "strip": table["strip"][:1], "part": pa.array([0], pa.int32()), "n": pa.array([sum(table["n"].to_pylist())]), "s": pa.array([s.tobytes()]), "ss": pa.array([ss.tobytes()])})
+
+    parts = rows.select("selection", "v").mapInArrow(run, schema)
+    for keys in (("selection", "strip", "part"), ("selection", "strip")):
+        parts = parts.groupBy(*keys).applyInArrow(add, schema)
+    return parts.drop("part")
 
 
 def histograms(rows: DataFrame, h: HistogramSummaryConfig) -> DataFrame:
@@ -131,20 +140,23 @@ def kernel_value(kind: str, p: KernelParams, x: np.ndarray, y: np.ndarray) -> fl
 
 def mmd_kernel(rows: DataFrame, kind: str, p: KernelParams) -> DataFrame:
     """GAP-5, GAP-6: the biased estimate, not below 0; 0 where a side has one row or none."""
+    rows = held(rows)  # dealt by row numbers below, so rows must stay where they are
     sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     # A hash of the row deals it to a tile; tiles of a selection are as many as its rows need.
-    dealt = rows.join(F.broadcast(sizes), list(KEYS)).withColumn("tile", F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), F.ceil(F.col("n") / TILE)))  # a row for each selection
+    many = F.ceil(F.col("n") / TILE).cast("long")
+    before = F.sum(many).over(Window.orderBy("selection_ix").rowsBetween(Window.unboundedPreceding, -1))  # a row for each selection
+    sizes = sizes.withColumn("begin", F.coalesce(before, F.lit(0)))
+    total = sizes.agg(F.sum(many)).first()[0] or 0
+    dealt = rows.join(sizes, list(KEYS)).withColumn("id", F.col("begin") + F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), many))
 
     def pack(table: pa.Table) -> pa.Table:
         own = table["v"].combine_chunks()
         m = np.asarray(own.flatten(), float)
-        return pa.table({"selection": table["selection"][:1], "selection_ix": table["selection_ix"][:1].cast(pa.int32()), "tile": table["tile"][:1], "rows": pa.array([len(own)], pa.int32()), "data": pa.array([m.tobytes()], pa.binary())})
+        return pa.table({"selection_ix": table["selection_ix"][:1].cast(pa.int32()), "id": table["id"][:1], "rows": pa.array([len(own)], pa.int32()), "data": pa.array([m.tobytes()], pa.binary())})
 
-    tiles = dealt.select(*KEYS, "tile", "v").groupBy(*KEYS, "tile").applyInArrow(pack, "selection string, selection_ix int, tile long, rows int, data binary")
-    tiles = tiles.withColumn("id", F.concat_ws(":", F.col("selection_ix"), F.col("tile")))
-    every = sizes.select(F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / TILE).cast("int") - 1), lambda t: F.concat_ws(":", F.col("selection_ix"), t))).alias("other"))
-    plan = every.select(F.col("other").alias("id")).join(F.broadcast(every)).where("id <= other")  # pairs of tile numbers, no rows
-    left = tiles.join(plan, "id").select(F.col("selection_ix").alias("a"), F.col("rows").alias("a_rows"), F.col("data").alias("a_data"), "id", "other")
+    tiles = held(dealt.select("selection_ix", "id", "v").groupBy("id").applyInArrow(pack, "selection_ix int, id long, rows int, data binary"))
+    # All pairs of tiles are what a kernel distance is; a tile's number tells which others it meets.
+    left = tiles.select(F.col("selection_ix").alias("a"), F.col("rows").alias("a_rows"), F.col("data").alias("a_data"), "id", F.explode(F.sequence("id", F.lit(total - 1).cast("long"))).alias("other"))
     right = tiles.select(F.col("id").alias("other"), F.col("selection_ix").alias("b"), F.col("rows").alias("b_rows"), F.col("data").alias("b_data"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +175,30 @@ def mmd_kernel(rows: DataFrame, kind: str, p: KernelParams) -> DataFrame:
 
 
 def fid(rows: DataFrame, pairs: list[tuple[str, str]], eps: float) -> DataFrame:
-    sums = outer_sums(rows)
-    out = []
-    for s, t in pairs:
-        if s in sums and t in sums:
-            (n, a, aa), (m, b, bb) = sums[s], sums[t]
-            mu, nu = a / n, b / m
-            x, y = aa / n - np.outer(mu, mu) + eps * np.eye(len(mu)), bb / m - np.outer(nu, nu) + eps * np.eye(len(nu))
-            out.append((s, t, abs(float(((mu - nu) ** 2).sum() + np.trace(x) + np.trace(y) - 2 * stats.root_trace(x, y)))))
-    return rows.sparkSession.createDataFrame(out, f"{PAIR[0]} string, {PAIR[1]} string, value double")
+    """GAP-3: a row for each selection holds its matrix; pairs meet by joins, and a task has one pair at a time."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("strip")
+        return pa.table({"selection": table["selection"][:1], "n": table["n"][:1], "s": table["s"][:1], "ss": pa.array([b"".join(table["ss"].to_pylist())])})
+
+    summary = held(outer_sums(rows).groupBy("selection").applyInArrow(whole, "selection string, n long, s binary, ss binary"))
+    side = lambda name, x: summary.select(F.col("selection").alias(name), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "s", "ss")))
+    wanted = rows.sparkSession.createDataFrame(pairs, f"{PAIR[0]} string, {PAIR[1]} string")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = []
+                for x in "ab":
+                    n = batch.column(f"{x}_n")[i].as_py()
+                    mean = np.frombuffer(batch.column(f"{x}_s")[i].as_buffer()) / n
+                    found.append((mean, np.frombuffer(batch.column(f"{x}_ss")[i].as_buffer()).reshape(len(mean), -1) / n - np.outer(mean, mean) + eps * np.eye(len(mean))))
+                (mu, x), (nu, y) = found
+                value = abs(float(((mu - nu) ** 2).sum() + np.trace(x) + np.trace(y) - 2 * stats.root_trace(x, y)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([value])], names=[*PAIR, "value"])
+
+    both = wanted.join(side(PAIR[0], "a"), PAIR[0]).join(side(PAIR[1], "b"), PAIR[1]).select(*PAIR, *(f"{x}_{c}" for x in "ab" for c in ("n", "s", "ss")))
+    return both.mapInArrow(run, f"{PAIR[0]} string, {PAIR[1]} string, value double")
 
 
 def pad(rows: DataFrame, pairs: list[tuple[str, str]], evaluator: str) -> DataFrame:

@@ -9,6 +9,8 @@ whole column.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
+from functools import reduce
 from math import inf, nan
 
 import numpy as np
@@ -22,6 +24,8 @@ from tallyforge.operators.base import KEYS, MetricProcessor
 from tallyforge.registry import register
 
 Key = tuple[str, str]
+#: Selections, and how many rows of each are its first batch, by which column.
+Batch = tuple[list[str], int, str | None]
 
 
 def numeric(df: DataFrame, column: str) -> Column:
@@ -40,24 +44,12 @@ def edges_of(distribution: str, bins: int, p: dict[str, float], low: float, high
 
 def expected_counts(distribution: str, method: str, edges: np.ndarray, p: dict[str, float], n: int, seed: int) -> np.ndarray:
     """REP-7, REP-8."""
-    if method == "monte_carlo":
-        rng = np.random.default_rng(seed)
-        out = np.zeros(len(edges) - 1)
-        for at in range(0, n, 1 << 20):  # as many draws as values, a part at a time
-            size = min(1 << 20, n - at)
-            draws = rng.normal(p["mean"], p["std"], size) if distribution == "normal" else rng.uniform(p["min"], p["max"], size)
-            out += np.histogram(draws, edges)[0]
-        return out
     f = (lambda x: stats.normal_cdf(x, p["mean"], p["std"])) if distribution == "normal" else (lambda x: stats.uniform_cdf(x, p["min"], p["max"]))
-    return np.diff([f(e) for e in edges]) * n
-
-
-def bin_of(v: Column, edges: np.ndarray) -> Column:
-    """REP-4: half-open bins, the last one closed; null outside. A search in a constant array, however many bins."""
-    inner = [float(e) for e in edges[1:-1]]
-    inside = (v >= F.lit(float(edges[0]))) & (v <= F.lit(float(edges[-1])))
-    place = F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e <= v)) if inner else F.lit(0)
-    return F.when(inside, place)
+    share = np.diff([f(e) for e in edges])
+    if method == "monte_carlo":  # n draws fall into bins as one draw of counts: the same law, whatever n is
+        share = np.maximum(share, 0.0)
+        return np.random.default_rng(seed).multinomial(n, np.append(share, max(0.0, 1.0 - share.sum())) / max(1.0, share.sum()))[:-1].astype(float)
+    return share * n
 
 
 @register("metrics", "representativeness")
@@ -71,7 +63,7 @@ class Representativeness(MetricProcessor):
         pairs = F.array(*(F.struct(F.lit(c).alias("column"), numeric(df, c).alias("v")) for c in self.columns(df)))
         return df.select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.column", "p.v").where("v is not null")
 
-    def parameters(self, df: DataFrame, batch_size: int = 10_000, order: str | None = None) -> tuple[dict[Key, dict[str, float]], dict[Key, dict]]:
+    def parameters(self, df: DataFrame, batch_size: int = 10_000, order: str | None = None, batches: Sequence[Batch] | None = None) -> tuple[dict[Key, dict[str, float]], dict[Key, dict]]:
         """REP-5, REP-6, REP-16: parameters for each selection and column, and what was counted over all values."""
         c, given = self.config, self._given()
         finite = F.abs("v") < F.lit(inf)
@@ -80,7 +72,8 @@ class Representativeness(MetricProcessor):
         counted = {(r["selection"], r["column"]): r.asDict() for r in whole.collect()}  # a row for each selection and column
         source = counted
         if c.mean_std_estimation in ("from_first_batch", "per_batch"):
-            first = self._first_batch(df, batch_size, order)
+            parts = [(df.where(F.col("selection").isin(names)), n, by) for names, n, by in batches] if batches else [(df, batch_size, order)]
+            first = reduce(DataFrame.union, (self._first_batch(*x) for x in parts))
             source = {(r["selection"], r["column"]): r.asDict() for r in self._long(first).groupBy("selection", "column").agg(*aggregates(finite)).collect()}
         out = {}
         for key, all_ in counted.items():
@@ -112,16 +105,15 @@ class Representativeness(MetricProcessor):
 
     def histograms(self, df: DataFrame, edges: dict[Key, np.ndarray]) -> dict[Key, np.ndarray]:
         """One scan; a count for each selection, column and bin."""
-        cases: Column | None = None
-        for (selection, column), e in edges.items():
-            if not np.isfinite(e[1:-1]).all():
-                continue
-            here = (F.col("selection") == selection) & (F.col("column") == column)
-            b = bin_of(F.col("v"), e)
-            cases = F.when(here, b) if cases is None else cases.when(here, b)
         out = {k: np.zeros(len(e) - 1) for k, e in edges.items()}
-        if cases is not None:
-            for r in self._long(df).groupBy("selection", "column", cases.alias("b")).count().where("b is not null").collect():
+        table = [(s, c, [float(x) for x in e]) for (s, c), e in edges.items() if np.isfinite(e[1:-1]).all()]
+        if table:
+            known = df.sparkSession.createDataFrame(table, "selection string, column string, edges array<double>")
+            rows = self._long(df).join(known, ["selection", "column"])  # a row for each selection and column: small ones Spark sends by itself
+            v, e = F.col("v"), F.col("edges")
+            inside = (v >= F.element_at(e, 1)) & (v <= F.element_at(e, -1))
+            place = F.least(F.size(e) - 2, F.size(F.filter(e, lambda x: x <= v)) - 1)
+            for r in rows.where(inside).groupBy("selection", "column", place.alias("b")).count().collect():  # at most a row for each bin
                 out[r["selection"], r["column"]][r["b"]] = r["count"]
         return out
 
@@ -158,13 +150,13 @@ class Representativeness(MetricProcessor):
         found = part.withColumn("f", f).groupBy("selection", "column").agg(F.max(d).alias("d"), F.max("n").alias("n")).collect()
         return {(r["selection"], r["column"]): (r["d"], r["n"]) for r in found}
 
-    def compute(self, df: DataFrame, batch_size: int = 10_000, order: str | None = None) -> DataFrame:
+    def compute(self, df: DataFrame, batch_size: int = 10_000, order: str | None = None, batches: Sequence[Batch] | None = None) -> DataFrame:
         c = self.config
         labels = c.interpretation.model_dump() if c.interpretation else PLAIN_LABELS
         bins = c.histogram.bins if c.histogram else 10
         columns = self.columns(df)
         selections = [(r["selection"], r["selection_ix"]) for r in df.select(*KEYS).distinct().orderBy("selection_ix").collect()]
-        params, counted = self.parameters(df, batch_size, order) if columns else ({}, {})
+        params, counted = self.parameters(df, batch_size, order, batches) if columns else ({}, {})
         source = params
         edges = {k: edges_of(c.distribution, bins, source[k], *(v if v is not None else 0.0 for v in (counted[k]["min"], counted[k]["max"])), c.epsilon) for k in params}
         observed = self.histograms(df, edges) if {"chi-square", "grte"} & set(c.metrics) else {}

@@ -7,12 +7,12 @@ from math import nan
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyforge.config import ImageFeaturesConfig
+from tallyforge.config import ErrorsConfig, ImageFeaturesConfig
 from tallyforge.functions import images
 from tallyforge.operators.base import FeatureProcessor
 from tallyforge.registry import register
@@ -20,15 +20,30 @@ from tallyforge.registry import register
 BATCH = 64
 
 
-def load_files(df: DataFrame, column: str) -> DataFrame:
-    """A column of paths as bytes; null where there is no file. Spark's own reader opens the files."""
+def load_files(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
+    """A column of paths as bytes, opened by Spark's own reader. A missing file is null, or with ``strict`` an error (ERR-4)."""
     spark = df.sparkSession
-    folders = [r[0] for r in df.select(F.regexp_replace(f"`{column}`", "/[^/]*$", "")).where(F.col(f"`{column}`").isNotNull()).distinct().collect()]  # one for each folder
-    if not folders:
-        return df.withColumn(column, F.lit(None).cast("binary"))
-    files = spark.read.format("binaryFile").load(folders).select(F.regexp_replace("path", "^file:/*", "/").alias("__path"), F.col("content").alias("__content"))
-    joined = df.join(files, F.regexp_replace(f"`{column}`", "^file:/*", "/") == F.col("__path"), "left")
-    return joined.withColumn(column, F.col("__content")).drop("__path", "__content")
+    c = F.col(f"`{column}`")
+    folders = [r[0] for r in df.select(F.regexp_replace(c, "/[^/]*$", "")).where(c.isNotNull()).distinct().collect()]  # one for each folder
+    there = [f for f in folders if _exists(spark, f)]
+    plain = F.regexp_replace(c, "^file:/*", "/")
+    missing = F.raise_error(F.concat(F.lit("Path does not exist: "), c)) if strict else F.lit(None)
+    if not there:
+        return df.withColumn(column, F.when(c.isNotNull(), missing.cast("binary")))
+    files = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/*", "/").alias("__path"), F.col("content").alias("__content"))
+    joined = df.join(files, plain == F.col("__path"), "left")
+    found = F.when(c.isNotNull() & F.col("__path").isNull(), missing.cast("binary")).otherwise(F.col("__content"))
+    return joined.withColumn(column, found).drop("__path", "__content")
+
+
+def strict_files(errors: ErrorsConfig) -> bool:
+    """Only where the policy of tables says so itself."""
+    return errors.tabular is not None and errors.tabular.on_file_not_found == "fail_fast"
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 @register("features", "image_features")
@@ -45,18 +60,14 @@ class ImageFeatures(FeatureProcessor):
         """Four columns of float for each input column; NaN where a picture can't be read."""
         for column in self.columns(df):
             if dict(df.dtypes)[column] == "string":
-                df = self._add(load_files(df.withColumn("__shown", F.col(f"`{column}`")), column), column).withColumn(column, F.col("__shown")).drop("__shown")
+                df = self._add(load_files(df.withColumn("__shown", F.col(f"`{column}`")), column, strict_files(self.errors)), column).withColumn(column, F.col("__shown")).drop("__shown")
             else:
                 df = self._add(df, column)
         return df
 
-    def failures(self, df: DataFrame) -> tuple[int, int]:
-        """How many pictures gave nothing, of how many rows; raises beyond the rate that is allowed."""
-        names = self.generated(df)
-        row = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.isnan(f"`{c}`")).alias(f"bad{i}") for i, c in enumerate(names[:: len(images.NAMES)]))).first()
-        bad = max([0, *(row[i] for i in range(1, len(row)))])
-        self.check_rate(bad, row["n"])
-        return bad, row["n"]
+    def failed(self, df: DataFrame) -> list[Column]:
+        names = [self.output_name(c, images.NAMES[0]) for c in self.columns(df)]
+        return [F.isnan(f"`{n}`") for n in names if n in df.columns]
 
     def _add(self, df: DataFrame, column: str) -> DataFrame:
         c, errors = self.config, self.errors

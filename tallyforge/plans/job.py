@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from tallyforge import registry
 from tallyforge.config import ErrorsConfig, Interface, JobConfig, StorageConfig
 from tallyforge.operators import completeness, diversity, embedding, gap, representativeness, visual  # noqa: F401  they register themselves
-from tallyforge.operators.base import KEYS, FeatureProcessor, GapProcessor, MetricProcessor, Processor
+from tallyforge.operators.base import KEYS, FeatureProcessor, GapProcessor, MetricProcessor, Processor, held
 from tallyforge.operators.completeness import Completeness
-from tallyforge.operators.representativeness import Representativeness
+from tallyforge.operators.representativeness import Batch, Representativeness
 from tallyforge.patterns import expand
 from tallyforge.sources.readers import Loaded
 from tallyforge.sources.sinks import ParquetSink, features_table, gap_table, metrics_table
@@ -61,8 +61,18 @@ def add_features(df: DataFrame, processors: Sequence[FeatureProcessor]) -> tuple
     return df, generated
 
 
-def compute_metrics(df: DataFrame, processors: Sequence[MetricProcessor], batch_size: int = 10_000, order: str | None = None) -> DataFrame:
-    """One row for each selection."""
+def checked(df: DataFrame, processors: Sequence[FeatureProcessor]) -> DataFrame:
+    """The table with its features, computed once, after a look at the rates of failures."""
+    if not processors:
+        return df
+    df = held(df)
+    for p in processors:
+        p.failures(df)
+    return df
+
+
+def compute_metrics(df: DataFrame, processors: Sequence[MetricProcessor], batch_size: int = 10_000, order: str | None = None, batches: Sequence[Batch] | None = None) -> DataFrame:
+    """One row for each selection. ``batches``: first batches by loader, in place of ``batch_size`` and ``order`` for all."""
     shared = [p for p in processors if isinstance(p, Completeness)]
     tables: dict[str, DataFrame] = {}
     if shared:
@@ -71,7 +81,7 @@ def compute_metrics(df: DataFrame, processors: Sequence[MetricProcessor], batch_
         tables |= {p.name: p.finish(counted, p.columns(df), f"{p.name}/") for p in shared}
     for p in processors:
         if isinstance(p, Representativeness):
-            tables[p.name] = p.compute(df, batch_size, order)
+            tables[p.name] = p.compute(df, batch_size, order, batches)
         elif p.name not in tables:
             tables[p.name] = p.compute(df)
     found = [tables[p.name] for p in processors]
@@ -118,16 +128,14 @@ def run(spark: SparkSession, config: JobConfig | dict[str, Any], write: bool = T
     source = [n for n in base.columns if n not in KEYS]
     features, metrics, gaps = (make(g, getattr(c, g), c.errors, seed) for g in ("features", "metrics", "gap"))
     df, generated = add_features(base, features)
-    for p in features:
-        if hasattr(p, "failures"):
-            p.failures(df)
+    df = checked(df, features)
     out = JobResult()
     if c.features is not None:
         o = c.features.outputs
         out.features = features_table(df, source, generated, o.include if o else None, o.exclude if o else None)
     if metrics:
-        first = c.dataloaders.loaders[0]
-        out.metrics = metrics_table(compute_metrics(df, metrics, first.batch_size, first.id_column))
+        batches = [(p.names, p.config.batch_size, p.config.id_column) for p in loaded]
+        out.metrics = metrics_table(compute_metrics(df, metrics, batches=batches))
     if gaps:
         out.gap = gap_table(compute_gaps(df, gaps), c.gap.outputs.pairwise if c.gap.outputs else True)
     if write:
@@ -166,6 +174,7 @@ def profile(spark: SparkSession, data: Any, processors: Sequence[Processor], nam
     features = [p for p in processors if isinstance(p, FeatureProcessor)]
     for p in features:
         df = p.add(df)
+    df = checked(df, features)
     out: dict[str, Any] = {"features": df.drop(*KEYS)} if features else {}
     metrics = [p for p in processors if isinstance(p, MetricProcessor)]
     if metrics:
@@ -182,5 +191,5 @@ def gap_between(spark: SparkSession, source: Any, target: Any, processor: GapPro
     df = tagged(sides[0], names[0], 0).unionByName(tagged(sides[1], names[1], 1), allowMissingColumns=True)
     for p in features:
         df = p.add(df)
-    row = processor.compute(df).first()
+    row = processor.compute(checked(df, features)).first()
     return {} if row is None else row.asDict()

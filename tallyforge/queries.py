@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from math import comb
 
@@ -273,7 +275,16 @@ def rep_ks_uniform(spark, sf_dir):
     return _metric(spark, sf_dir, "uniform", "kolmogorov-smirnov", {"statistic": "statistic", "sample_size": "sample_size"})
 
 
-@query()
+#: The normal distribution's integral by the series x + x^3 / 3 + x^5 / (3 * 5) + ..., for arguments of a few units.
+_PHI = "CASE WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80), lambda k: exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))) END"
+
+
+@query(
+    f"""WITH c AS (SELECT 'lineitem_' || l_returnflag AS selection, (l_quantity - 25) / 14 AS z, count(*) AS k FROM lineitem GROUP BY ALL),
+    r AS (SELECT *, sum(k) OVER (PARTITION BY selection ORDER BY z) AS a, sum(k) OVER (PARTITION BY selection) AS n, {_PHI} AS f FROM c),
+    d AS (SELECT selection, max(greatest(a / n - f, f - (a - k) / n)) AS d, max(n) AS n FROM r GROUP BY 1)
+    SELECT selection, round(d, 6) AS statistic, round(least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (-1) ** (k - 1) * exp(-2 * k * k * n * d * d))))), 6) AS p_value FROM d"""
+)
 def rep_ks_normal(spark, sf_dir):
     return _metric(spark, sf_dir, "normal", "kolmogorov-smirnov", {"statistic": "statistic", "p_value": "p_value"})
 
@@ -294,6 +305,39 @@ def rep_first_batch_all_metrics(spark, sf_dir):
     return rounded(metrics_table(p.compute(selections(spark, sf_dir, "events"), 10_000, "event_id")))
 
 
+@query("WITH f AS (SELECT * FROM events ORDER BY event_id LIMIT 2000) SELECT 'events' AS selection, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS low, round(max(value), 6) AS high FROM f")
+def rep_first_batch_parameters(spark, sf_dir):
+    p = Representativeness({"name": "r", "columns": {"input": ["value"]}, "mean_std_estimation": "from_first_batch"})
+    return _parameters(spark, p.parameters(selections(spark, sf_dir, "events"), 2000, "event_id")[0])
+
+
+@query("SELECT 'orders_' || o_orderstatus AS selection, 100000.0::DOUBLE AS mean, round(stddev_pop(o_totalprice), 6) AS std, 0.0::DOUBLE AS low, round(max(o_totalprice), 6) AS high FROM orders GROUP BY 1")
+def rep_given_in_part(spark, sf_dir):
+    """What isn't given comes from the values."""
+    given = [{"column": "o_totalprice", "mean": 100_000.0, "min": 0.0}]
+    p = Representativeness({"name": "r", "columns": {"input": ["o_totalprice"]}, "mean_std_estimation": "from_all_data", "distribution_params": given})
+    return _parameters(spark, p.parameters(selections(spark, sf_dir, "orders", split={"by": "o_orderstatus"}))[0])
+
+
+@query(
+    """WITH t AS (SELECT l_quantity AS q, l_linenumber AS i FROM lineitem WHERE l_linenumber > 2)
+    SELECT 'lineitem' AS selection, count(*) AS n, round(avg(q) FILTER (WHERE i > 3), 6) AS mean, round(stddev_pop(q) FILTER (WHERE i > 3), 6) AS std FROM t"""
+)
+def rep_text_nan_infinity(spark, sf_dir):
+    """Text that is no number and NaN count as nothing, infinities as values, though not in means."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    odd = F.when(F.col("l_linenumber") == 1, "none").when(F.col("l_linenumber") == 2, "NaN").when(F.col("l_linenumber") == 3, "Infinity").otherwise(F.col("l_quantity").cast("string"))
+    p = Representativeness({"name": "r", "columns": {"input": ["odd"]}, "mean_std_estimation": "from_all_data"})
+    params, counted = p.parameters(selections(spark, sf_dir, "lineitem", df.select(odd.alias("odd"))))
+    rows = [(s, int(counted[s, c]["n"]), round(v["mean"], 6), round(v["std"], 6)) for (s, c), v in params.items()]
+    return spark.createDataFrame(rows, "selection string, n long, mean double, std double")
+
+
+def _parameters(spark: SparkSession, params: dict) -> DataFrame:
+    rows = [(s, *(round(v[k], 6) for k in ("mean", "std", "min", "max"))) for (s, _), v in params.items()]
+    return spark.createDataFrame(rows, "selection string, mean double, std double, low double, high double")
+
+
 # Distances between labels of the embeddings
 
 _E = "WITH e AS (SELECT 'embeddings_' || label AS s, label AS ix, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),"
@@ -307,7 +351,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance(metric: str, **options) -> gap.DomainGap:
-    return gap.DomainGap({"name": "g", "columns": {"input": ["embedding"]}, "distance": {"metric": metric, **options.pop("distance", {})}, **options})
+    columns = options.pop("columns", {"input": ["embedding"]})
+    return gap.DomainGap({"name": "g", "columns": columns, "distance": {"metric": metric, **options.pop("distance", {})}, **options})
 
 
 def _gap(spark: SparkSession, sf_dir: str, metric: str, **options) -> DataFrame:
@@ -333,6 +378,32 @@ def gap_klmvn(spark, sf_dir):
     return _gap(spark, sf_dir, "klmvn_diag")
 
 
+@query(
+    _E + _X + _MEANS + ", p AS (SELECT a.s AS x, b.s AS y, a.pos, a.m AS am, b.m AS bm, a.v AS av, b.v AS bv, 0.1 * (avg(a.v) OVER (PARTITION BY a.s, b.s) + avg(b.v) OVER (PARTITION BY a.s, b.s)) / 2 AS e"
+    f" FROM m a JOIN m b ON a.pos = b.pos AND {_ORDER}) SELECT x AS selection_source, y AS selection_target, round(sum((av + e) / (bv + e) - 1 - ln((av + e) / (bv + e)) + (bm - am) * (bm - am) / (bv + e)) / 2, 6) AS value FROM p GROUP BY 1, 2"
+)
+def gap_klmvn_eps(spark, sf_dir):
+    return _gap(spark, sf_dir, "klmvn_diag", distance={"klmvn_var_eps": 0.1})
+
+
+@query(_E + _X + _MEANS + f" SELECT a.s AS selection_source, b.s AS selection_target, round(sum((a.m - b.m) * (a.m - b.m)), 6) AS value FROM m a JOIN m b ON a.pos = b.pos AND {_ORDER} GROUP BY 1, 2")
+def gap_wildcard_column(spark, sf_dir):
+    p = distance("mmd_linear", columns={"input": ["emb*"]})
+    return rounded(p.compute(labelled(spark, sf_dir)).select("selection_source", "selection_target", F.col("mmd_linear").alias("value")))
+
+
+@query(
+    _E + _X + " x2 AS (SELECT *, label FROM (SELECT *, CASE WHEN ix < 5 THEN 'low' ELSE 'high' END AS label FROM x)),"
+    " m AS (SELECT label, pos, avg(x) AS m FROM x2 GROUP BY label, pos)"
+    " SELECT 'low' AS selection_source, 'high' AS selection_target, 'mmd_linear' AS metric, round(sum((a.m - b.m) * (a.m - b.m)), 6) AS mmd_linear, CAST(NULL AS VARCHAR) AS note FROM m a JOIN m b ON a.pos = b.pos AND a.label = 'low' AND b.label = 'high'"
+)
+def gap_between_tables(spark, sf_dir):
+    """Two tables without a job."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = job.gap_between(spark, df.where("label < 5"), df.where("label >= 5"), distance("mmd_linear"), names=("low", "high"))
+    return rounded(spark.createDataFrame([tuple(found.values())], "selection_source string, selection_target string, metric string, mmd_linear double, note string"))
+
+
 @query(
     _E + _X + " h AS (SELECT s, ix, pos, least(31, CAST(floor((x + 0.6) / (1.2 / 32)) AS INTEGER)) AS bin, count(*) AS n FROM x WHERE x BETWEEN -0.6 AND 0.6 GROUP BY ALL),"
     " g AS (SELECT s, ix, pos, unnest(range(32)) AS bin FROM (SELECT DISTINCT s, ix, pos FROM h)),"
@@ -361,14 +432,30 @@ def gap_mmd_poly(spark, sf_dir):
     return _gap(spark, sf_dir, "mmd_poly")
 
 
-def _cmd_sql() -> str:
+def _cmd_sql(where: str = "true", channel: str = "pos", digits: int | None = None) -> str:
     means = ", ".join(f"avg(pow(1 / (1 + exp(-x)), {j})) AS m{j}" for j in range(1, 6))
     central = ["m1 AS c1"] + [" + ".join(f"{comb(j, i) * (-1) ** (j - i)} * {f'm{i}' if i else '1'} * pow(m1, {j - i})" for i in range(j + 1)) + f" AS c{j}" for j in range(2, 6)]
     total = " + ".join(f"sqrt(sum((a.c{j} - b.c{j}) * (a.c{j} - b.c{j})))" for j in range(1, 6))
-    return _E + _X + f" p AS (SELECT s, ix, pos, {means} FROM x GROUP BY s, ix, pos), c AS (SELECT s, ix, pos, {', '.join(central)} FROM p) SELECT a.s AS selection_source, b.s AS selection_target, round(({total}) / 5, 6) AS value FROM c a JOIN c b ON a.pos = b.pos AND {_ORDER} GROUP BY 1, 2"
+    value = f"({total}) / 5" if digits is None else f"round(({total}) / 5, {digits})"
+    return _E + _X + f" p AS (SELECT s, ix, {channel} AS pos, {means} FROM x WHERE {where} GROUP BY ALL), c AS (SELECT s, ix, pos, {', '.join(central)} FROM p) SELECT a.s AS selection_source, b.s AS selection_target, {value} AS value FROM c a JOIN c b ON a.pos = b.pos AND {_ORDER} GROUP BY 1, 2"
+
+
+def _cmd_layers_sql() -> str:
+    """Two layers: the first half of each vector as 32 channels, the second as 16 of two cells, three times as heavy."""
+    one = _cmd_sql("pos < 32", "pos")
+    two = _cmd_sql("pos >= 32", "(pos - 32) // 2")
+    return f"WITH one AS ({one}), two AS ({two}) SELECT selection_source, selection_target, round((one.value + 3 * two.value) / 4, 6) AS value FROM one JOIN two USING (selection_source, selection_target)"
+
+
+@query(_cmd_layers_sql())
+def gap_cmd_layers(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumns({"first": F.slice("embedding", 1, 32), "second": F.slice("embedding", 33, 32)})
+    p = distance("cmd", columns={"input": ["first", "second"]}, distance={"feature_weights": [1.0, 3.0]}, summary={"channels": {"first": 32, "second": 16}})
+    found = p.compute(selections(spark, sf_dir, "embeddings", df, split={"by": "label"}))
+    return rounded(found.select("selection_source", "selection_target", F.col("cmd").alias("value")))
 
 
-@query(_cmd_sql())
+@query(_cmd_sql(digits=6))
 def gap_cmd(spark, sf_dir):
     return _gap(spark, sf_dir, "cmd", summary={"channels": {"embedding": 64}})
 
@@ -429,11 +516,50 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", png("embedding").alias("image_bytes"))
 
 
-@query()
+def _png_sql(kernel: dict[tuple[int, int], int], clause: str = "") -> str:
+    """Features of the bytes that ``pictures`` writes; a picture's numbers go through 32 bits, as the operator's do."""
+    near = " + ".join(f"{k} * coalesce(list_extract(g, CASE WHEN i // 8 + {dy} BETWEEN 0 AND 7 AND i % 8 + {dx} BETWEEN 0 AND 7 THEN i + {8 * dy + dx} + 1 END), 0)" for (dy, dx), k in kernel.items())
+    real = lambda v: f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 6)"
+    return f"""WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(least(255, greatest(0, (CAST(x AS DOUBLE) + 0.6) / 1.2 * 255))) AS DOUBLE)) AS p FROM embeddings {clause}),
+    q AS (SELECT vec_id, label, list_transform(p, lambda x: CAST(CAST((x - list_min(p)) / (list_max(p) - list_min(p)) AS FLOAT) AS DOUBLE)) AS g FROM p),
+    x AS (SELECT vec_id, label, g, unnest(g) AS x, unnest(range(64)) AS i FROM q),
+    b AS (SELECT vec_id, label, x, {near} AS y FROM x),
+    n AS (SELECT vec_id, least(255, floor(x * 256)) AS bin, count(*) / 64 AS q FROM x GROUP BY ALL)
+    SELECT vec_id, label, {real("avg(x)")} AS image_bytes_luminosity, {real("stddev_pop(x)")} AS image_bytes_contrast, {real("var_pop(y)")} AS image_bytes_blur,
+    (SELECT {real("-sum(q * ln(q))")} FROM n WHERE n.vec_id = b.vec_id) AS image_bytes_entropy FROM b GROUP BY vec_id, label"""
+
+
+_CROSS = {(-1, 0): 1, (1, 0): 1, (0, -1): 1, (0, 1): 1, (0, 0): -4}
+_DIAMOND = {(dy, dx): images.LAPLACIAN["5x5"][dy + 2, dx + 2].astype(int).item() for dy in range(-2, 3) for dx in range(-2, 3) if images.LAPLACIAN["5x5"][dy + 2, dx + 2]}
+
+
+def _png_features(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    from tallyforge.operators.visual import ImageFeatures
+
+    df = ImageFeatures({"name": "v", "columns": {"input": ["image_bytes"]}, **options}).add(pictures(spark, sf_dir)).drop("image_bytes")
+    return rounded(df.select(*(F.col(c).cast("double").alias(c) if kind == "float" else F.col(c) for c, kind in df.dtypes)))
+
+
+@query(_png_sql(_CROSS))
 def visual_png(spark, sf_dir):
+    return _png_features(spark, sf_dir)
+
+
+@query(_png_sql(_DIAMOND))
+def visual_wide_kernel(spark, sf_dir):
+    return _png_features(spark, sf_dir, laplacian_kernel="5x5")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 3 = 0) AS failed FROM embeddings")
+def visual_failures(spark, sf_dir):
+    """Pictures that can't be read give NaN under a silent policy, and are counted."""
     from tallyforge.operators.visual import ImageFeatures
 
-    return ImageFeatures({"name": "v", "columns": {"input": ["image_bytes"]}}).add(pictures(spark, sf_dir)).drop("image_bytes")
+    broken = pictures(spark, sf_dir).withColumn("image_bytes", F.when(F.col("vec_id") % 3 == 0, F.lit("no picture").cast("binary")).otherwise(F.col("image_bytes")))
+    quiet = C.ErrorsConfig(images=C.ImageErrorsConfig(on_decode_failure="silent_fail", on_unsupported_format="silent_fail"), max_failure_rate=1.0)
+    p = ImageFeatures({"name": "v", "columns": {"input": ["image_bytes"]}}, quiet)
+    bad, rows = p.failures(p.add(broken))
+    return spark.createDataFrame([(rows, bad)], "rows long, failed long")
 
 
 @query()
@@ -467,7 +593,12 @@ def job_metrics(spark, sf_dir):
     return rounded(job.run(spark, full_config(sf_dir), write=False).metrics)
 
 
-@query()
+@query(
+    _E.replace("embeddings_", "emb_") + _X + _MEANS + ", j AS (SELECT a.s AS selection_source, b.s AS selection_target, round(sum((a.m - b.m) * (a.m - b.m)), 6) AS mmd,"
+    f" round(sum(a.v / b.v - 1 - ln(a.v / b.v) + (b.m - a.m) * (b.m - a.m) / b.v) / 2, 6) AS kl FROM m a JOIN m b ON a.pos = b.pos AND {_ORDER} GROUP BY 1, 2),"
+    " u AS (SELECT selection_source, selection_target, 'mmd_linear' AS metric, mmd AS mmd_linear, NULL AS klmvn_diag FROM j UNION ALL SELECT selection_source, selection_target, 'klmvn_diag', NULL, kl FROM j)"
+    " SELECT *, CAST(NULL AS VARCHAR) AS note, selection_source || '_' || selection_target AS source_target FROM u"
+)
 def job_gap(spark, sf_dir):
     return rounded(job.run(spark, full_config(sf_dir), write=False).gap)
 
@@ -478,6 +609,84 @@ def job_features(spark, sf_dir):
     return features_table(df, [c for c in df.columns if c not in KEYS_NAMES], [], None, ["embed*"])
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the driver and all executors can write."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+    return f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> job.JobResult:
+    """A job over customers by market segment, written as Parquet."""
+    where = folder(spark, "job")
+    loader = {"name": "cust", "type": "parquet", "path": f"{sf_dir}/customer.parquet", "split": {"by": "c_mktsegment"}}
+    metrics = [{"type": "diversity", "name": "d", "columns": {"input": ["c_nationkey"]}, "metrics": ["richness", "simpson"]}, {"type": "completeness", "name": "c", "columns": {"input": ["c_acctbal"]}}]
+    return job.run(spark, {
+        "dataloaders": {"loaders": [loader]},
+        "metrics": {"processors": metrics, "outputs": {"path": f"{where}/metrics"}},
+        "features": {"outputs": {"path": where + "/{}-{}", "include": ["c_cust*", "c_name"]}},
+    })
+
+
+@query(
+    f"WITH n AS (SELECT 'cust_' || c_mktsegment AS selection, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT selection, {_SQL_MEASURES['richness']} AS c_nationkey_richness,"
+    f" round({_SQL_MEASURES['simpson']}, 6) AS c_nationkey_simpson, 1.0::DOUBLE AS completeness_c_acctbal, 1.0::DOUBLE AS completeness_overall FROM n GROUP BY selection"
+)
+def sink_metrics(spark, sf_dir):
+    """Read back from the files."""
+    df = rounded(spark.read.parquet(_customers(spark, sf_dir).paths["metrics"]))
+    return df.select(*(c for c in df.columns if not c.startswith("_metadata")))
+
+
+@query("SELECT c_custkey, c_name, 'cust_' || c_mktsegment AS dataloader FROM customer")
+def sink_features(spark, sf_dir):
+    return spark.read.parquet(_customers(spark, sf_dir).paths["features"])
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def csv_source(spark, sf_dir):
+    path = folder(spark, "csv")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.csv(path, header=True)
+    config = {"name": "nation", "type": "csv", "path": path, "filters": [{"column": "n_regionkey", "values": [2]}]}
+    return plain(load(spark, C.DataLoaderConfig.model_validate(config)).df)
+
+
+@query(
+    "SELECT 'n' AS selection, 1.0::DOUBLE AS completeness_n_name, 0.0::DOUBLE AS completeness_r_name, 0.5::DOUBLE AS completeness_overall UNION ALL SELECT 'r', 0.0, 1.0, 0.5"
+)
+def job_two_loaders(spark, sf_dir):
+    """A column that only one table has is empty in the other."""
+    loaders = [{"name": t[0], "type": "parquet", "path": f"{sf_dir}/{t}.parquet"} for t in ("nation", "region")]
+    config = {"dataloaders": {"loaders": loaders}, "metrics": {"processors": [{"type": "completeness", "name": "c", "columns": {"input": ["n_name", "r_name"]}}]}}
+    df = rounded(job.run(spark, config, write=False).metrics)
+    return df.select(*(c for c in df.columns if not c.startswith("_metadata")))
+
+
+@query(
+    f"WITH n AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), g AS ({_GAPS.format(key="'lineitem'")})"
+    f" SELECT completeness_l_quantity, completeness_overall, (SELECT {_SQL_MEASURES['richness']} FROM n) AS l_returnflag_richness, (SELECT round({_SQL_MEASURES['shannon']}, 6) FROM n) AS l_returnflag_shannon FROM g"
+)
+def profile_table(spark, sf_dir):
+    """All metrics of one table, without a job."""
+    processors = [Completeness({"name": "c", "columns": {"input": _GAP_COLUMNS}}), Diversity({"name": "d", "columns": {"input": ["l_returnflag"]}, "metrics": ["richness", "shannon"]})]
+    found = job.profile(spark, with_nulls(spark, sf_dir), processors)
+    keys = ("completeness_l_quantity", "completeness_overall", "l_returnflag_richness", "l_returnflag_shannon")
+    return rounded(spark.createDataFrame([tuple(found[k] for k in keys)], "completeness_l_quantity double, completeness_overall double, l_returnflag_richness long, l_returnflag_shannon double"))
+
+
+@query(
+    "SELECT 'lineitem_' || l_returnflag AS selection, count(*) AS total_samples, round(count(CASE WHEN l_quantity <= 45 THEN 1 END) / count(*), 6) AS l_quantity_score FROM lineitem GROUP BY 1"
+)
+def completeness_metadata(spark, sf_dir):
+    p = Completeness({"name": "c", "columns": {"input": ["l_quantity"]}, "include_metadata": True})
+    df = p.compute(selections(spark, sf_dir, "lineitem", with_nulls(spark, sf_dir), split={"by": "l_returnflag"}))
+    part = lambda path: F.get_json_object("_metadata_c", path)
+    return df.select("selection", part("$.total_samples_per_column").cast("long").alias("total_samples"), F.round(part("$.per_column_scores.l_quantity").cast("double"), 6).alias("l_quantity_score"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS rows, round(count(value) / count(*), 6) AS completeness_value, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std FROM events GROUP BY ALL")
 def monitor_events(spark, sf_dir):
     from tallyforge.streaming.monitor import monitor

@@ -181,7 +181,7 @@ def test_queries_against_sql(spark, name):
     import duckdb
 
     with duckdb.connect() as c:
-        for t in ("customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels"):
+        for t in ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         want = c.sql(queries.ORACLE_SQL[name])
         names = sorted(want.columns)
@@ -202,3 +202,66 @@ def test_sampled_distance_is_near(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 def test_whole_job_takes_all_labels(spark):
     assert queries.job_metrics(spark, DATA).count() == 10 and queries.job_gap(spark, DATA).count() == 2 * 45
+
+
+def test_first_batches_are_by_loader(spark):
+    """Each loader's own batch size and order."""
+    df = job.tagged(spark.createDataFrame([(i, float(i)) for i in range(100)], "id int, x double"), "a", 0)
+    other = job.tagged(spark.createDataFrame([(i, float(1000 + i)) for i in range(100)], "id int, x double"), "b", 1)
+    p = Representativeness({"name": "r", "columns": {"input": ["x"]}, "mean_std_estimation": "from_first_batch"})
+    params, _ = p.parameters(df.union(other), batches=[(["a"], 10, "id"), (["b"], 20, "x")])
+    assert params["a", "x"]["mean"] == 4.5 and params["b", "x"]["mean"] == 1009.5 and params["b", "x"]["max"] == 1019
+
+
+def test_counts_by_chance_follow_the_law():
+    from tallyforge.operators.representativeness import expected_counts
+
+    edges = np.array([-np.inf, -1.0, 0.0, 1.0, np.inf])
+    p = {"mean": 0.0, "std": 1.0, "min": 0.0, "max": 1.0}
+    n = 10**12
+    drawn, want = (expected_counts("normal", m, edges, p, n, 3) for m in ("monte_carlo", "theoretical"))
+    assert drawn.sum() == n and np.abs(drawn - want).max() < 10 * np.sqrt(n) and (drawn != want).any()
+    assert expected_counts("uniform", "monte_carlo", np.array([0.0, 0.25, 0.5]), p, 1000, 3).sum() < 700
+
+
+def test_missing_files(spark, tmp_path):
+    """ERR-4: an error only where the policy of tables says so; else no features."""
+    pixels = np.random.default_rng(3).integers(0, 256, (9, 8, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(png(pixels, 2, [0]))
+    df = spark.createDataFrame([(1, str(tmp_path / "a.png")), (2, str(tmp_path / "b.png")), (3, str(tmp_path / "no" / "c.png"))], "id int, path string")
+    config = {"name": "v", "columns": {"input": ["path"]}}
+    out = {r["id"]: r for r in ImageFeatures(config, C.ErrorsConfig(tabular=C.TabularErrorsConfig(on_file_not_found="silent_fail"))).add(df).collect()}
+    assert out[1]["path_blur"] > 0 and np.isnan(out[2]["path_blur"]) and np.isnan(out[3]["path_blur"]) and out[2]["path"].endswith("b.png")
+    strict = C.ErrorsConfig(tabular=C.TabularErrorsConfig(on_file_not_found="fail_fast"))
+    for rows in (df, df.where("id = 3")):
+        with pytest.raises(Exception, match="Path does not exist"):
+            ImageFeatures(config, strict).add(rows).collect()
+
+
+def test_failures_of_embeddings_and_without_a_job(spark):
+    """ERR-2 for vectors, and for a profile of one table."""
+    from tallyforge.operators.embedding import Embeddings
+
+    good = bytearray(png(np.random.default_rng(3).integers(1, 256, (9, 8, 3)).astype(np.uint8), 2, [0]))
+    df = spark.createDataFrame([(1, good), (2, bytearray(b"broken")), (3, good)], "id int, image_bytes binary")
+    quiet = C.ErrorsConfig(images=C.ImageErrorsConfig(on_unsupported_format="silent_fail", on_decode_failure="silent_fail"))
+    p = Embeddings({"name": "e", "columns": {"input": ["image_bytes"]}, "model": {"arch": "projection"}, "infer": {"width": 8, "height": 8}}, quiet)
+    with pytest.raises(RuntimeError, match="1 of 3"):
+        p.failures(p.add(df))
+    with pytest.raises(RuntimeError, match="1 of 3"):
+        job.profile(spark, df, [p, Completeness({"name": "c", "columns": {"input": ["id"]}})])
+    kept = job.profile(spark, df.where("id <> 2"), [p, Completeness({"name": "c", "columns": {"input": ["id"]}})])
+    assert kept["completeness_id"] == 1.0 and kept["features"].count() == 2
+
+
+def test_frechet_distance_over_several_strips(spark, monkeypatch):
+    """Matrices that are added by strips and in steps are those of numpy."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(0, 1, (300, 150)), rng.normal(0.2, 1.3, (200, 150))
+    rows = [(0, "a", v.tolist()) for v in x] + [(1, "b", v.tolist()) for v in y]
+    df = spark.createDataFrame(rows, "selection_ix int, selection string, emb array<double>").repartition(6)
+    p = DomainGap({"name": "g", "columns": {"input": ["emb"]}, "distance": {"metric": "fid"}})
+    cov = [np.cov(m.T, bias=True) + 1e-6 * np.eye(150) for m in (x, y)]
+    root = np.linalg.eigvals(cov[0] @ cov[1])
+    want = ((x.mean(0) - y.mean(0)) ** 2).sum() + np.trace(cov[0]) + np.trace(cov[1]) - 2 * np.sqrt(np.maximum(root.real, 0)).sum()
+    assert one(p.compute(df))["fid"] == pytest.approx(want, rel=1e-6)
