@@ -1,7 +1,12 @@
 """A corpus from raw documents to pieces: quality, near copies, repeated passages, benchmark passages, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's documents. All but the last keep the columns of ``documents``.
+stage's documents. All but the last keep the columns of ``documents``; others, whatever their names, are dropped at once.
+
+Null ids are ids like others. Null texts, empty ones and those without words are kept by every stage (the classifier scores
+them as it does short texts) and become no pieces. Rows that are equal in id and text are one document from the second
+stage on; rows with equal ids and different texts stay apart. Of near copies the least id stays, of equal ids the least text
+hash. A text of any length is taken whole. An empty table passes every stage empty.
 """
 
 from __future__ import annotations
@@ -29,7 +34,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that stand at more than one place out of the texts; a document of nothing else goes."""
+    """Cuts passages that stand at more than one place out of the texts, at all places, as op6 does; a document of nothing else goes.
+
+    Near copies are gone by now, so what repeats stands in unlike documents. (``keep_first`` of the operator would leave one place.)
+    """
     had = F.coalesce(F.length("text"), F.lit(0)) > 0
     cut = substring_dedup.dedup(docs.select(*COLUMNS, had.alias("__had"))).where("not __had or length(trim(text)) > 0")
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
