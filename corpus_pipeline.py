@@ -20,6 +20,7 @@ from tallyforge.llm import decontaminate, jaccard_join, quality, sentencepiece_c
 from tallyforge.llm.queries import table, tokenizer
 from tallyforge.llm.store import Scratch
 
+WORD = r"[^\x20\x09-\x0D]"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -38,8 +39,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Near copies are gone by now, so what repeats stands in unlike documents. (``keep_first`` of the operator would leave one place.)
     """
-    had = F.coalesce(F.length("text"), F.lit(0)) > 0
-    cut = substring_dedup.dedup(docs.select(*COLUMNS, had.alias("__had"))).where("not __had or length(trim(text)) > 0")
+    had = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    cut = substring_dedup.dedup(docs.select(*COLUMNS, had.alias("__had"))).where(~F.col("__had") | F.col("text").rlike(WORD))
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -632,7 +632,7 @@ def test_pipeline_stages_by_brute_force(spark, none):
     rows = [r for r in corpus() if r[0] not in (5, 66)]
     want = {i: v[3] for i, v in brute_removed(rows).items()}
     out = {r["doc_id"]: " ".join(WORD.findall(r["text"] or "")) for r in cut(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
-    gone = {r[0] for r in rows if r[1] and not want[r[0]].strip()}
+    gone = {r[0] for r in rows if WORD.search(r[1] or "") and not want[r[0]]}
     assert out == {i: t for i, t in want.items() if i not in gone}
     empty = none.select(*corpus_pipeline.COLUMNS)
     assert near(spark, empty, "").count() == 0 and cut(spark, empty, "").count() == 0 and corpus_pipeline.encoding(spark, empty, "").count() == 0
