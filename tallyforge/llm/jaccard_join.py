@@ -39,7 +39,7 @@ from tallyforge.llm import text as T
 from tallyforge.llm.components import components
 from tallyforge.llm.store import Scratch
 
-SKETCH = 1 << 22
+SKETCH = 1 << 24
 SLICE = 1 << 16
 SKETCH_ROWS = 1 << 18
 FAN = 64
@@ -99,12 +99,12 @@ def _survey(size: int, kmv: int = 256):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        total, least, sketch = 0, np.zeros(0, np.uint64), np.zeros(SKETCH, np.uint32)
+        total, least, sketch = 0, np.zeros(0, np.uint64), np.zeros(SKETCH, np.uint16)
 
         def count() -> np.ndarray:
             every = np.concatenate(held)
             cells, counts = np.unique((every & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
-            sketch[cells] += counts.astype(np.uint32)
+            sketch[cells] = np.minimum(sketch[cells] + counts, 65535)  # it only orders shingles
             few = np.partition(every, min(kmv, len(every) - 1))[:kmv] if len(every) else every
             return np.unique(np.concatenate([least, few]))[:kmv]
 

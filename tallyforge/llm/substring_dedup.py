@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +146,12 @@ def _run_rows(length: int, merge: bool):
     """The different runs of a slice of texts: the lowest place of each, how many there are, and the other places."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             batch, copies = _unique_texts(batch, merge)
             at = 0
             for part in T.slices(batch, "text"):
+                number += 1
                 w = T.words(part.column("text"))
                 anchors, rows, first, whole, windows, other = _runs(w, w.hashes(), length)
                 own = copies[at : at + part.num_rows][rows]
@@ -164,15 +167,36 @@ def _run_rows(length: int, merge: bool):
                 ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32), mask=np.append(size == 0, False))  # no others: null
                 more = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(place(rest), names=[*PLACE, "first"])) if len(head) else pa.nulls(0, MORE)
                 columns = [*(pa.array(x[head].view(np.int64)) for x in (anchors, whole, other)), *place(head)]
-                columns += [pa.array(total.astype(np.int64)), pa.array(windows[head].astype(np.int32)), more]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "whole", "other", *PLACE, "first", "copies", "windows", "more"])
+                columns += [pa.array(total.astype(np.int64)), pa.array(windows[head].astype(np.int32)), more, pa.array(np.full(len(head), number))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "whole", "other", *PLACE, "first", "copies", "windows", "more", "slice"])
 
     return run
 
 
 MORE = pa.list_(pa.struct([*((c, pa.int64()) for c in PLACE), ("first", pa.int32())]))
-MORE_SQL = "array<struct<doc_id: bigint, th: bigint, tl: bigint, first: int>>"
-RUNS = f"anchor long, whole long, other long, doc_id long, th long, tl long, first int, copies long, windows int, more {MORE_SQL}"
+RUNS = "anchor long, whole long, other long, doc_id long, th long, tl long, first int, copies long, windows int, more array<struct<doc_id: bigint, th: bigint, tl: bigint, first: int>>, slice long"
+SPAN = ("start", "windows", "first", "source_id", "source_start")
+LISTS = "doc_id long, th long, tl long, spans array<struct<start: int, windows: int, first: boolean, source_id: bigint, source_start: int>>"
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """From a slice's runs that have copies a row for each text, with its spans in their order."""
+    lists = table["more"].combine_chunks()
+    more = lists.flatten()
+    size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+    row = np.append(np.arange(len(table)), np.repeat(np.arange(len(table)), size))
+    own = {c: pa.concat_arrays([table[c].combine_chunks(), more.field(c)]) for c in (*PLACE, "first")}
+    pick = pa.array(row)
+    of = {c: table[f"source_{c}"].combine_chunks().take(pick) for c in (*PLACE, "first")}
+    rank, start = _places(own), own["first"].to_numpy()
+    both = _places({c: pa.concat_arrays([own[c], of[c]]) for c in PLACE})
+    first = (both[: len(row)] == both[len(row) :]) & (start == of["first"].to_numpy())
+    order = np.lexsort((start, rank))
+    new = np.flatnonzero(np.append(True, rank[order][1:] != rank[order][:-1])) if len(order) else order
+    at = pa.array(order)
+    spans = [own["first"].take(at), table["windows"].combine_chunks().take(pick).take(at), pa.array(first).take(at), of["doc_id"].take(at), of["first"].take(at)]
+    ends = pa.array(np.append(new, len(order)).astype(np.int32))
+    return pa.table([*(own[c].take(pa.array(order[new])) for c in PLACE), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(spans, names=list(SPAN)))], names=[*PLACE, "spans"])
 
 
 def _blocks(length: int):
@@ -334,7 +358,7 @@ def _parsed(length: int):
 
 
 def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, each_row: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, th, tl (hash and bytes of the text), start (its first word), windows (words less ``length`` - 1), first, source_id, source_start.
+    """doc_id, th, tl (hash and bytes of the text), and some of its spans: start (the first word), windows (words less ``length`` - 1), first, source_id, source_start.
 
     ``each_row``: spans are of each row; else of each text, with the id of one of the rows that have it.
     """
@@ -353,9 +377,8 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = scratch.save(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
     source = [F.col("source.doc_id").alias("source_id"), F.col("source.first").alias("source_start")]
     copied = found.join(runs.where("k > 1").drop("windows"), kinds)
-    each = F.explode(F.concat(F.array(place), F.coalesce("more", F.array().cast(MORE_SQL)))).alias("place")
-    wholes = copied.select(each, "windows", "source").select(*(F.col(f"place.{c}").alias(c) for c in PLACE), F.col("place.first").alias("start"), "windows", F.col("place").eqNullSafe(F.col("source")).alias("first"), *source)
-    wholes = scratch.save(wholes, "wholes")
+    copied = copied.select("slice", *PLACE, "first", "more", "windows", *(F.col(f"source.{c}").alias(f"source_{c}") for c in (*PLACE, "first")))
+    wholes = scratch.save(copied.groupBy("slice").applyInArrow(_by_text, LISTS), "wholes")
     # Each different run of an anchor that has another goes to the anchor's block, from its source.
     several = runs.join(mixed, "anchor").withColumn("hot", F.col("kinds") > HOT)
     wanted = several.groupBy(*(F.col(f"source.{c}").alias(f"__{c}") for c in PLACE)).agg(F.collect_set(F.struct("anchor", F.col("source.first").alias("first"), "windows", "k", "hot")).alias("runs"))
@@ -374,13 +397,15 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated = scratch.save(repeated, "repeated")
     here = place.eqNullSafe(F.col("source"))
     single = hot.join(repeated, ["v", "u"]).where((F.col("k") == 1) | ~here).select(*PLACE, F.col("first").alias("start"), F.lit(1).alias("windows"), here.alias("first"), *source)
-    return wholes.union(parsed).union(single)
+    return wholes.union(parsed.union(single).select(*PLACE, F.array(F.struct(*SPAN)).alias("spans")))
 
 
 def _with_spans(docs: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch, id_col: str | None = None) -> DataFrame:
     """docs with ``__spans``, the starts and numbers of windows; null where there is none. By text, or with ``id_col`` by row."""
     keys = ["th", "tl"] if id_col is None else ["doc_id", "th", "tl"]
-    spans = scratch.save(spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "windows")).alias("__spans")), "spans")
+    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["windows"].alias("windows")))
+    lists = spans.select(*keys, plain.alias("spans")).groupBy(*keys).agg(F.flatten(F.collect_set("spans")).alias("__spans"))  # equal texts have equal lists
+    spans = scratch.save(lists, "spans")
     spans = spans.withColumnsRenamed({k: f"__{k}" for k in keys})
     of = (F.xxhash64(text_col) == F.col("__th")) & (F.octet_length(text_col) == F.col("__tl"))
     if id_col is not None:
@@ -442,5 +467,5 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, length=length, each_row=keep_first, scratch=scratch)
-    spans = spans.where("not first") if keep_first else spans
+    spans = spans.withColumn("spans", F.filter("spans", lambda s: ~s["first"])) if keep_first else spans
     return _with_spans(docs, text_col, spans, scratch, id_col if keep_first else None).select(*docs.columns, "__spans").mapInArrow(T.tidy(run), docs.schema)
