@@ -12,20 +12,21 @@ All of it is relational:
 
 1. Count tables. Documents are exploded into n-grams, each distinct one of a batch of texts once with its number there
    (so a frequent one is few, however often it occurs); sums by n-gram are the table of that length, a row for each
-   n-gram. Tables are Parquet, partitioned by the n-gram's hash (``part=0`` and so on).
+   n-gram. The table of every length is Parquet, partitioned by the n-gram's hash (``part=0`` and so on) into as many parts
+   as the corpus has times ``BUCKET`` words; a part is one file for each pass over the corpus (see ``passes_of``).
 2. Gains. log S of a whole document is a sum of terms that each depend on one n-gram: every word gives log S by words
    alone and log ``alpha`` for each longer history that it has, and each n-gram of a table adds what S is better than
    the backoff from it, ``gain = log S(n-gram) - log alpha - log S(its suffix)``. (An n-gram of a table has its prefix and
    its suffix in the tables, as ``least`` occurrences of it are as many of them.) So a count table joined twice to that
    of the next shorter n-grams, by prefix and by suffix, has each n-gram's gain.
-3. Scores. The n-grams of each document, distinct, with their numbers, are joined to the gains and summed for each
-   document, partly before the shuffle.
+3. Scores. The n-grams of each document, distinct, with their numbers, are dealt by the same hash, each joined to its
+   part of the table, and summed for each document, partly before the shuffle.
 
-Exploded n-grams go through a shuffle by buckets of their hash, those of a batch and a bucket as one row of arrays (at any
+Exploded n-grams go through a shuffle by buckets of their hash (the table's parts), those of a batch and a bucket as one row of arrays (at any
 size of a corpus no more rows than n-grams); a task adds or joins the ``BUCKET`` or so n-grams of a bucket with numpy,
 which takes a fifth of the time of a row each. The ``SENT`` most frequent n-grams of each length don't go through the
 join: their gains are sent to all tasks. If the next one is still so frequent that its bucket would be large, buckets are
-split by batches and the table's rows are copied to each part.
+split by batches and the part of the table is copied to each.
 
 An n-gram's key is a hash of 64 bits; from two words on, counts go by the hashes of prefix and suffix, 128 bits. A
 document's key is a hash of 64 bits of its id and text.
@@ -54,14 +55,16 @@ from tallyforge.llm.store import Scratch
 SENT = 1 << 16
 #: About so many n-grams are in a bucket.
 BUCKET = 2_000_000
+#: So many n-grams of a part of a table are one row on the way to the join, at most.
+PACKED = 1 << 19
 
 
 #: So many times the exploded n-grams of a length are joined, each time those of a part of the hashes.
 JOINED = 1
 
 
-def parts_of(n: int) -> int:
-    """Partitions of the table of ``n`` words by hash. They are made one after the other, so that the n-grams of long ones never lie on disk all at once."""
+def passes_of(n: int) -> int:
+    """So many times the corpus is read for the table of ``n`` words, each time for n-grams of other hashes, so that those of long ones never lie on disk all at once."""
     return max(1, n - 1)
 
 
@@ -99,7 +102,7 @@ def grams(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
-    """By the hash's high bits (its low ones tell the part)."""
+    """The table's part, by the hash's high bits (its low ones tell the pass)."""
     return ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
@@ -120,7 +123,7 @@ def _gathered(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[column]]) if len(table) else np.zeros(0, kind)
 
 
-def _counted(n: int, part: int, parts: int, buckets: int):
+def _counted(n: int, turn: int, passes: int, buckets: int):
     """Each distinct n-gram of a batch, with its number there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +133,7 @@ def _counted(n: int, part: int, parts: int, buckets: int):
                 w = T.words(piece.column("text"))
                 at = np.flatnonzero(w.whole(n))
                 own = [x[at] for x in grams(w.hashes(lower=True), n)] if len(at) else [np.zeros(0, np.uint64)] * 3
-                here = own[0] % np.uint64(parts) == part
+                here = own[0] % np.uint64(passes) == turn
                 held.append([x[here] for x in own])
             gram, prefix, suffix = (np.concatenate(x) for x in zip(*held))
             each, first, number = np.unique(gram, return_index=True, return_counts=True)  # sorted, so by buckets
@@ -155,6 +158,25 @@ def _added(keys: list[str], least: int):
     return run
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a table's part as arrays, ``PACKED`` at most in a row."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACKED:
+            yield _parted(held)
+            held, size = [], 0
+    if size:
+        yield _parted(held)
+
+
+def _parted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    part, gram, gain = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("part", "gram", "gain"))
+    order = np.argsort(part, kind="stable")
+    return _dealt(part[order], {"gram": gram[order], "gain": gain[order]})
+
+
 def _exploded(n: int, part: int, parts: int, buckets: int, copies: int, sent):
     """Each document's distinct n-grams with their numbers; those that were sent are summed at once, in a row of their own (any bucket's, without ``k``)."""
 
@@ -200,7 +222,7 @@ def _gains_of(exploded: pa.Table, table: pa.Table, buckets: int) -> pa.RecordBat
     summed = exploded.filter(pa.compute.is_null(exploded["k"]))
     exploded = exploded.filter(pa.compute.is_valid(exploded["k"]))
     gram, row, k = _gathered(exploded, "gram", np.int64), _gathered(exploded, "row", np.int64), _gathered(exploded, "k", np.int32)
-    own, gains = table["gram"].to_numpy(), table["gain"].to_numpy()
+    own, gains = _gathered(table, "gram", np.int64), _gathered(table, "gain", np.float64)
     order = np.argsort(own)
     at = order[np.minimum(np.searchsorted(own, gram, sorter=order), len(own) - 1)] if len(own) else np.zeros(len(gram), np.int64)
     hit = np.flatnonzero(own[at] == gram) if len(own) else np.zeros(0, np.int64)
@@ -246,23 +268,25 @@ class LanguageModel:
 
     def _build(self, n: int) -> None:
         keys = ["gram"] if n == 1 else ["prefix", "suffix"]
-        for part in range(parts_of(n)):
-            packed = self.texts.select("text").mapInArrow(T.tidy(_counted(n, part, parts_of(n), self.buckets)), f"bucket int, {', '.join(f'{k} binary' for k in keys)}, n binary")
+        for turn in range(passes_of(n)):
+            packed = self.texts.select("text").mapInArrow(T.tidy(_counted(n, turn, passes_of(n), self.buckets)), f"bucket int, {', '.join(f'{k} binary' for k in keys)}, n binary")
             counts = packed.groupBy("bucket").applyInArrow(_added(keys, 1 if n == 1 else self.least), f"{', '.join(f'{k} long' for k in keys)}, n long")
             if n == 1:
                 score = F.log(F.col("n") / F.lit(float(max(1, self.words))))
-                self.scratch.save(counts.select("gram", "n", score.alias("score"), score.alias("gain")), f"table-{n}/part={part}")
-                continue
-            counts = self.scratch.save(counts, "counts")
-            shorter = self.table(n - 1)
-            own = counts.join(shorter.select(F.col("gram").alias("prefix"), F.col("n").alias("m")), "prefix")
-            own = own.select("prefix", "suffix", "n", F.log(F.col("n") / F.col("m")).alias("score"))
-            own = own.join(shorter.select(F.col("gram").alias("suffix"), F.col("score").alias("other")), "suffix")
-            gain = F.col("score") - F.lit(float(np.log(self.alpha))) - F.col("other")
-            self.scratch.save(own.select(F.xxhash64("prefix", "suffix").alias("gram"), "n", "score", gain.alias("gain")), f"table-{n}/part={part}")
+                own = counts.select("gram", "n", score.alias("score"), score.alias("gain"))  # whole buckets already
+            else:
+                counts = self.scratch.save(counts, "counts")
+                shorter = self.table(n - 1)
+                own = counts.join(shorter.select(F.col("gram").alias("prefix"), F.col("n").alias("m")), "prefix")
+                own = own.select("prefix", "suffix", "n", F.log(F.col("n") / F.col("m")).alias("score"))
+                own = own.join(shorter.select(F.col("gram").alias("suffix"), F.col("score").alias("other")), "suffix")
+                gain = F.col("score") - F.lit(float(np.log(self.alpha))) - F.col("other")
+                own = own.select(F.xxhash64("prefix", "suffix").alias("gram"), "n", "score", gain.alias("gain")).repartition(_bucket_column(self.buckets))
+            self.scratch.save(own.withColumn("part", _bucket_column(self.buckets)), f"table-{n}", by="part", more=turn > 0)
         self.scratch.drop("counts")
 
     def table(self, n: int) -> DataFrame:
+        """A row for each n-gram, in the part (of ``buckets``) that its hash tells."""
         return self.spark.read.schema("gram long, n long, score double, gain double, part int").parquet(self.scratch.path(f"table-{n}"))
 
     def _sums(self, n: int) -> list[DataFrame]:
@@ -284,8 +308,9 @@ class LanguageModel:
         out = []
         for part in range(JOINED):
             rows = self.texts.select("row", "text").mapInArrow(T.tidy(_exploded(n, part, JOINED, self.buckets, copies, sent)), "bucket int, gram binary, row binary, k binary")
-            gains = table.where(F.pmod("gram", F.lit(JOINED)) == part).select((_bucket_column(self.buckets) * copies).alias("first"), "gram", "gain")
-            gains = gains.select(F.explode(F.sequence(F.col("first"), F.col("first") + (copies - 1))).alias("bucket"), "gram", "gain")
+            gains = table.where(F.pmod("gram", F.lit(JOINED)) == part).select("part", "gram", "gain").mapInArrow(T.tidy(_packed), "bucket int, gram binary, gain binary")
+            first = F.col("bucket") * copies
+            gains = gains.select(F.explode(F.sequence(first, first + (copies - 1))).alias("bucket"), "gram", "gain")
             found = rows.groupBy("bucket").cogroup(gains.groupBy("bucket")).applyInArrow(_told(self.buckets), "bucket int, row binary, s binary")
             out.append(self.scratch.save(found.groupBy("bucket").applyInArrow(_scored, "row long, s double"), f"sums-{n}-{part}"))
         return out

@@ -57,9 +57,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None, more: bool = False) -> DataFrame:
+        """``by``: the last column, whose values are folders of the table. ``more``: to what the table has."""
         with settings(self.spark, WRITING):
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("append" if more else "overwrite").parquet(self.path(name), partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

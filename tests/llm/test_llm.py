@@ -613,6 +613,29 @@ def test_lm_tables(spark):
         assert own["log_score"] == pytest.approx(math.log(counts["a",] / total) + math.log(counts["a", "b"] / counts["a",]))
 
 
+def test_lm_tables_lie_by_hash(spark):
+    """The table of every length lies in as many parts as the corpus asks for, each n-gram in that of its hash; scores are those of one part."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 120)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len(t.split()) for _, t in rows)
+    model = lm_scoring.LanguageModel(df, sent=5, bucket=total // 7)
+    got = {r["doc_id"]: r["log_score"] for r in model.scores(keep=True).collect()}
+    counts = Counter(tuple(w[i : i + n]) for w in (t.split() for _, t in rows) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    for n in (1, 2, 3):
+        table = model.table(n).select("gram", "n", "part", F.input_file_name().alias("file")).collect()
+        assert sorted(r["n"] for r in table) == sorted(v for k, v in counts.items() if len(k) == n and (n == 1 or v > 1))
+        assert len({r["gram"] for r in table}) == len(table)
+        parts = lm_scoring.bucket_of(np.array([r["gram"] for r in table], np.int64).view(np.uint64), model.buckets)
+        assert [r["part"] for r in table] == parts.tolist() and len(set(parts.tolist())) > 3
+        assert all(f"/part={r['part']}/" in r["file"] for r in table)
+        assert len({r["file"] for r in table}) <= lm_scoring.passes_of(n) * model.buckets
+    whole = lm_scoring.LanguageModel(df)
+    assert whole.buckets == 1 and got == pytest.approx({r["doc_id"]: r["log_score"] for r in whole.scores().collect()})
+
+
 def test_pipeline_stages_by_brute_force(spark, none):
     """Repeated rows, null ids and texts, empty texts: each stage by itself against plain Python, and over an empty table."""
     import corpus_pipeline
