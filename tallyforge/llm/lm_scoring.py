@@ -17,15 +17,16 @@ All of it is relational:
 2. Gains. log S of a whole document is a sum of terms that each depend on one n-gram: every word gives log S by words
    alone and log ``alpha`` for each longer history that it has, and each n-gram of a table adds what S is better than
    the backoff from it, ``gain = log S(n-gram) - log alpha - log S(its suffix)``. (An n-gram of a table has its prefix and
-   its suffix in the tables, as ``least`` occurrences of it are as many of them.) So a count table joined twice to that
-   of the next shorter n-grams, by prefix and by suffix, has each n-gram's gain.
+   its suffix in the tables, as ``least`` occurrences of it are as many of them.) So a count table joined to that
+   of the next shorter n-grams, by prefix and by suffix, has each n-gram's gain: each bucket of counts asks the parts in
+   which its prefixes and suffixes lie, with arrays of them, and gets arrays of numbers and log S back.
 3. Scores. The n-grams of each document, distinct, with their numbers, are dealt by the same hash, each joined to its
    part of the table, and summed for each document, partly before the shuffle.
 
 Exploded n-grams go through a shuffle by buckets of their hash (the table's parts), those of a batch and a bucket as one row of arrays (at any
 size of a corpus no more rows than n-grams); a task adds or joins the ``BUCKET`` or so n-grams of a bucket with numpy,
 which takes a fifth of the time of a row each. The ``SENT`` most frequent n-grams of each length don't go through the
-join: their gains are sent to all tasks. If the next one is still so frequent that its bucket would be large, buckets are
+joins: their gains, numbers and log S are sent to all tasks. If the next one is still so frequent that its bucket would be large, buckets are
 split by batches and the part of the table is copied to each.
 
 An n-gram's key is a hash of 64 bits; from two words on, counts go by the hashes of prefix and suffix, 128 bits. A
@@ -44,23 +45,24 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import text as T
 from tallyforge.llm.store import Scratch
 
-#: So many of the most frequent n-grams of a length are sent to all tasks, with their gains: 16 bytes each, whatever the corpus.
+#: So many of the most frequent n-grams of a length are sent to all tasks, with gains, numbers and log S: 32 bytes each, whatever the corpus.
 SENT = 1 << 16
 #: About so many n-grams are in a bucket.
 BUCKET = 2_000_000
 #: So many n-grams of a part of a table are one row on the way to the join, at most.
 PACKED = 1 << 19
-
-
-#: So many times the exploded n-grams of a length are joined, each time those of a part of the hashes.
-JOINED = 1
+#: About so many bytes of text are exploded at once.
+HELD = 4 << 20
+#: Columns of a table of n-grams, and of what is counted, asked and answered before it is one.
+TABLE = ["gram", "n", "score", "gain", "part"]
+COUNTS = ["bucket", "a", "b", "c", "d", "source", "kind"]
 
 
 def passes_of(n: int) -> int:
@@ -106,11 +108,6 @@ def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _bucket_column(buckets: int) -> Column:
-    """``bucket_of`` a column of Spark."""
-    return F.shiftright(F.shiftrightunsigned("gram", 32) * F.lit(buckets), 32).cast("int")
-
-
 def _dealt(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket, with its parts of the arrays as bytes; ``bucket`` is sorted."""
     begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
@@ -123,93 +120,249 @@ def _gathered(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[column]]) if len(table) else np.zeros(0, kind)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _wide(x: pa.Scalar, count: int) -> np.ndarray:
+    """``count`` numbers that ``_narrow`` made."""
+    raw = x.as_buffer()
+    return np.frombuffer(raw, f"u{raw.size // count if count else 1}")
+
+
+def together(key: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    """An order by the high bits of ``key``, in which equal rows of ``own`` (they have equal keys) stand together, as they came.
+
+    One sort of numbers that hold a key's high bits and a place (a fourth of the time of a sort of places); rows that
+    differ though these bits agree are then sorted by all columns. At least 32 bits count.
+    """
+    low = np.uint64((1 << len(key).bit_length()) - 1)
+    order = (np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64)) & low).astype(np.int64)
+    high = (key & ~low)[order]
+    same = high[1:] == high[:-1]
+    mixed = same & reduce(np.logical_or, ((x := c[order])[1:] != x[:-1] for c in own))
+    if mixed.any():
+        group = np.cumsum(np.append(0, ~same))
+        at = np.flatnonzero(np.isin(group, group[1:][mixed]))
+        part = order[at]
+        order[at] = part[np.lexsort((part, *(c[part] for c in own), group[at]))]
+    return order
+
+
+def _starts(own: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.flatnonzero(np.append(True, reduce(np.logical_or, (x[1:] != x[:-1] for x in own)))) if len(own[0]) else np.zeros(0, np.int64)
+
+
+def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, until they have about ``HELD`` bytes of text: the fewer and larger, the fewer distinct n-grams and rows of arrays."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in T.slices(batch, "text"):
+            held.append(piece)
+            size += piece.column("text").nbytes
+            if size >= HELD:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _counted(n: int, turn: int, passes: int, buckets: int):
-    """Each distinct n-gram of a batch, with its number there."""
+    """Each distinct n-gram of some texts, with its number there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = []
-            for piece in T.slices(batch, "text"):
+        for pieces in _held(batches):
+            found = []
+            for piece in pieces:
                 w = T.words(piece.column("text"))
-                at = np.flatnonzero(w.whole(n))
-                own = [x[at] for x in grams(w.hashes(lower=True), n)] if len(at) else [np.zeros(0, np.uint64)] * 3
-                here = own[0] % np.uint64(passes) == turn
-                held.append([x[here] for x in own])
-            gram, prefix, suffix = (np.concatenate(x) for x in zip(*held))
-            each, first, number = np.unique(gram, return_index=True, return_counts=True)  # sorted, so by buckets
-            keys = {"gram": each} if n == 1 else {"prefix": prefix[first], "suffix": suffix[first]}
-            yield _dealt(bucket_of(each, buckets), keys | {"n": number.astype(np.int32)})
+                gram, prefix, suffix = grams(w.hashes(lower=True), n) if len(w.starts) >= n else [np.zeros(0, np.uint64)] * 3
+                here = w.whole(n)[: len(gram)]
+                if passes > 1:
+                    here &= gram % np.uint64(passes) == turn
+                at = np.flatnonzero(here)
+                found.append([x[at] for x in ((gram,) if n == 1 else (gram, prefix, suffix))])
+            own = [np.concatenate(x) for x in zip(*found)]
+            order = together(own[0], own[:1])
+            gram = own[0][order]
+            first = _starts([gram])
+            number = np.diff(first, append=len(gram))
+            keys = {"gram": gram[first]} if n == 1 else {"prefix": own[1][order[first]], "suffix": own[2][order[first]]}
+            yield _dealt(bucket_of(gram[first], buckets), keys | {"n": number.astype(np.int32)})
+
+    return run
+
+
+def _summed(table: pa.Table, keys: list[str], least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys of the distinct n-grams of a bucket that occur ``least`` times, and their sums."""
+    own = [_gathered(table, k, np.uint64) for k in keys]
+    with np.errstate(over="ignore"):
+        mixed = reduce(lambda a, b: a * _P1 + b, own) * _P2  # those of a bucket have equal high bits, but not here
+    order = together(mixed, own)
+    own = [x[order] for x in own]
+    new = _starts(own)
+    total = np.add.reduceat(_gathered(table, "n", np.int32)[order].astype(np.int64), new) if len(order) else order
+    keep = total >= least
+    return [x[new[keep]] for x in own], total[keep]
+
+
+def _words_added(words: int):
+    """The table of single words, from a bucket's counts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        (gram,), total = _summed(table, ["gram"], 1)
+        score = np.log(total / max(1, words))
+        return pa.table([pa.array(gram.view(np.int64)), pa.array(total), pa.array(score), pa.array(score), pa.array(np.full(len(gram), key[0].as_py(), np.int32))], names=TABLE)
 
     return run
 
 
-def _added(keys: list[str], least: int):
-    """Sums by n-gram in a bucket: rows of the count table."""
+def _place(known: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Places among the sorted ``known``, -1 for others."""
+    if not len(known):
+        return np.full(len(gram), -1, np.int32)
+    at = np.minimum(np.searchsorted(known, gram), len(known) - 1).astype(np.int32)
+    return np.where(known[at] == gram, at, np.int32(-1))
+
+
+def _added(least: int, buckets: int, copies: int, sent):
+    """A bucket's n-grams as a row of arrays, with the places of prefix and suffix among those that were sent, and for each other prefix and suffix what is asked of its part of the shorter n-grams' table."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        known, bucket = sent.value[0], key[0].as_py()
+        (prefix, suffix), total = _summed(table, ["prefix", "suffix"], least)
+        gram = joined(prefix, suffix)
+        places, asked = {}, []
+        for kind, x in (("prefix", prefix), ("suffix", suffix)):
+            order = together(x, [x])
+            place = np.empty(len(x), np.int32)
+            place[order] = _place(known, x[order])
+            places[kind] = place
+            at = order[place[order] < 0]
+            to = bucket_of(x[at], buckets) * np.int32(copies) + np.int32(bucket % copies)
+            asked.append(_tagged(_dealt(to, {"a": x[at], "b": at.astype(np.int32)}), bucket, kind))
+        one = pa.array([bucket], pa.int32())
+        own = pa.RecordBatch.from_arrays([one, *(pa.array([x.tobytes()], pa.binary()) for x in (gram, total, places["prefix"], places["suffix"])), one, pa.array(["gram"])], names=COUNTS)
+        return pa.Table.from_batches([own, *asked])
 
-    def run(table: pa.Table) -> pa.Table:
-        own = [_gathered(table, k, np.int64) for k in keys]
-        order = np.lexsort(own)
-        own = [x[order] for x in own]
-        new = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in own], axis=0))) if len(order) else order
-        total = np.add.reduceat(_gathered(table, "n", np.int32)[order].astype(np.int64), new) if len(order) else order
-        keep = total >= least
-        return pa.table([*(pa.array(x[new][keep]) for x in own), pa.array(total[keep])], names=[*keys, "n"])
+    return run
+
+
+def _tagged(dealt: pa.RecordBatch, source: int, kind: str) -> pa.RecordBatch:
+    n = dealt.num_rows
+    return pa.RecordBatch.from_arrays([*dealt.columns, *[pa.nulls(n, pa.binary())] * 2, pa.array(np.full(n, source, np.int32)), pa.array([kind] * n, pa.string())], names=COUNTS)
+
+
+def _answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """What a part of a table has of the prefixes (how often they occur) and suffixes (log S) that buckets of longer n-grams ask for."""
+    own = _gathered(table, "gram", np.uint64)
+    order = np.argsort(own)
+    own, n, score = own[order], _gathered(table, "n", np.int64)[order], _gathered(table, "score", np.float64)[order]
+    out = []
+    for row in asked.to_batches():
+        for key, at, source, kind in zip(row["a"], row["b"], row["source"].to_pylist(), row["kind"].to_pylist()):
+            place = np.searchsorted(own, np.frombuffer(key.as_buffer(), np.uint64))
+            answer = n[place].astype(np.float64) if kind == "prefix" else score[place]
+            out.append((source, at.as_py(), answer.tobytes(), kind))
+    columns = list(zip(*out)) or [()] * 4
+    none = pa.nulls(len(out), pa.binary())
+    where = pa.array(columns[0], pa.int32())
+    return pa.table([where, pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), none, none, where, pa.array(columns[3], pa.string())], names=COUNTS)
+
+
+def _finished(alpha: float, sent):
+    """Rows of the table, from a bucket's n-grams and the answers about their prefixes and suffixes."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, _, often, scores = sent.value
+        own = table.filter(pa.compute.equal(table["kind"], "gram"))
+        gram, total = _gathered(own, "a", np.int64), _gathered(own, "b", np.int64)
+        values = {}
+        for kind, column, known in (("prefix", "c", often), ("suffix", "d", scores)):
+            place = _gathered(own, column, np.int32)
+            value = np.full(len(gram), np.nan)
+            here = place >= 0
+            value[here] = known[place[here]]
+            answers = table.filter(pa.compute.equal(table["kind"], kind))
+            value[_gathered(answers, "a", np.int32)] = _gathered(answers, "b", np.float64)
+            values[kind] = value
+        score = np.log(total / values["prefix"])
+        gain = score - np.log(alpha) - values["suffix"]
+        return pa.table([pa.array(gram), pa.array(total), pa.array(score), pa.array(gain), pa.array(np.full(len(gram), key[0].as_py(), np.int32))], names=TABLE)
 
     return run
 
 
-def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(columns: dict[str, type]):
     """The rows of a table's part as arrays, ``PACKED`` at most in a row."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= PACKED:
-            yield _parted(held)
-            held, size = [], 0
-    if size:
-        yield _parted(held)
 
+    def parted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part, *own = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("part", *columns))
+        if not len(part) or part[0] == part[-1] == part.max() == part.min():
+            return _dealt(part, dict(zip(columns, own)))
+        order = np.argsort(part, kind="stable")
+        return _dealt(part[order], {c: x[order] for c, x in zip(columns, own)})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PACKED:
+                yield parted(held)
+                held, size = [], 0
+        if size:
+            yield parted(held)
 
-def _parted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    part, gram, gain = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("part", "gram", "gain"))
-    order = np.argsort(part, kind="stable")
-    return _dealt(part[order], {"gram": gram[order], "gain": gain[order]})
+    return run
 
 
-def _exploded(n: int, part: int, parts: int, buckets: int, copies: int, sent):
+def _exploded(n: int, buckets: int, copies: int, sent):
     """Each document's distinct n-grams with their numbers; those that were sent are summed at once, in a row of their own (any bucket's, without ``k``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, gains = sent.value
-        for i, batch in enumerate(batches):
-            found, numbers, keys = [], [], []
-            for piece in T.slices(batch, "text"):
+        known, gains = sent.value[:2]
+        for i, pieces in enumerate(_held(batches)):
+            found, rows, keys, before = [], [], [], 0
+            for piece in pieces:
                 w = T.words(piece.column("text"))
                 gram = grams(w.hashes(lower=True), n)[0] if len(w.starts) >= n else np.zeros(0, np.uint64)
-                here = gram % np.uint64(parts) == part
-                for a, b, key in zip(w.first[:-1].tolist(), w.first[1:].tolist(), piece.column("row").to_numpy().tolist()):
-                    to = max(a, b - n + 1)
-                    each, number = np.unique(gram[a:to][here[a:to]], return_counts=True)
-                    found.append(each)
-                    numbers.append(number)
-                    keys.append(key)
-            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            every, number, key = np.concatenate(found), np.concatenate(numbers).astype(np.int32), np.array(keys, np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-                here = known[at] == every
-                sums = np.bincount(rows[here], number[here] * gains[at[here]], minlength=len(found))
-                rows, every, number = rows[~here], every[~here], number[~here]
-                yield pa.RecordBatch.from_arrays([pa.array([int(every[0] >> np.uint64(32)) % (buckets * copies) if len(every) else 0], pa.int32()), pa.array([sums.tobytes()]), pa.array([key.tobytes()]), pa.nulls(1, pa.binary())], names=["bucket", "gram", "row", "k"])
-            bucket = bucket_of(every, buckets)
-            order = np.argsort(bucket, kind="stable")
+                at = np.flatnonzero(w.whole(n)[: len(gram)])
+                found.append(gram[at])
+                rows.append(np.repeat(np.arange(before, before + piece.num_rows, dtype=np.int32), w.counts)[at])
+                keys.append(piece.column("row").to_numpy())
+                before += piece.num_rows
+            every, row, key = np.concatenate(found), np.concatenate(rows), np.concatenate(keys)
+            order = together(every, [every])  # equal n-grams as they came, so by document
+            every, row = every[order], row[order]
+            first = _starts([every, row])
+            every, row, number = every[first], row[first], np.diff(first, append=len(every))
+            place = _place(known, every)
+            here = place >= 0
+            if here.any():
+                sums = np.bincount(row[here], number[here] * gains[place[here]], minlength=len(key))
+                every, row, number = every[~here], row[~here], number[~here]
+                to = int(every[0]) % (buckets * copies) if len(every) else 0
+                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([sums.tobytes()]), pa.array([b""]), pa.array([key.tobytes()]), pa.nulls(1, pa.binary())], names=["bucket", "gram", "row", "keys", "k"])
             copy = (TaskContext.get().partitionId() + i) % copies
-            yield _dealt(bucket[order] * np.int32(copies) + np.int32(copy), {"gram": every[order], "row": key[rows[order]], "k": number[order]})
+            yield _of_documents(bucket_of(every, buckets) * np.int32(copies) + np.int32(copy), every, row, number, key)
 
     return run
 
 
+def _of_documents(bucket: np.ndarray, gram: np.ndarray, row: np.ndarray, number: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: n-grams, each with its document's place among ``keys`` and its number. Keys are all documents' or, where that is less, one for each n-gram."""
+    begin = _starts([bucket])
+    columns: list[list[bytes]] = [[], [], [], []]
+    for a, b in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist()):
+        whole = len(key) < b - a
+        own = (gram[a:b], _narrow(row[a:b] if whole else np.arange(b - a)), key if whole else key[row[a:b]], _narrow(number[a:b]))
+        for column, x in zip(columns, own):
+            column.append(x.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "gram", "row", "keys", "k"])
+
+
 def _told(buckets: int):
     def run(exploded: pa.Table, table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_gains_of(exploded, table, buckets)])
@@ -219,30 +372,40 @@ def _told(buckets: int):
 
 def _gains_of(exploded: pa.Table, table: pa.Table, buckets: int) -> pa.RecordBatch:
     """Sums by document of a bucket: the gains of the n-grams that the table has, and what was summed before."""
-    summed = exploded.filter(pa.compute.is_null(exploded["k"]))
-    exploded = exploded.filter(pa.compute.is_valid(exploded["k"]))
-    gram, row, k = _gathered(exploded, "gram", np.int64), _gathered(exploded, "row", np.int64), _gathered(exploded, "k", np.int32)
-    own, gains = _gathered(table, "gram", np.int64), _gathered(table, "gain", np.float64)
+    own = _gathered(table, "gram", np.uint64)
     order = np.argsort(own)
-    at = order[np.minimum(np.searchsorted(own, gram, sorter=order), len(own) - 1)] if len(own) else np.zeros(len(gram), np.int64)
-    hit = np.flatnonzero(own[at] == gram) if len(own) else np.zeros(0, np.int64)
-    each, place = np.unique(row[hit], return_inverse=True)
-    sums = np.bincount(place, k[hit] * gains[at[hit]], minlength=len(each))
-    each, sums = np.append(each, _gathered(summed, "row", np.int64)), np.append(sums, _gathered(summed, "gram", np.float64))
-    return _by_document(each, sums, buckets)
+    own, gains = own[order], _gathered(table, "gain", np.float64)[order]
+    each, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for batch in exploded.to_batches():
+        for grams_, rows, keys, k in zip(batch["gram"], batch["row"], batch["keys"], batch["k"]):
+            key = np.frombuffer(keys.as_buffer(), np.int64)
+            if not k.is_valid:
+                own_sums = np.frombuffer(grams_.as_buffer(), np.float64)
+            else:
+                gram = np.frombuffer(grams_.as_buffer(), np.uint64)
+                place = _place(own, gram)
+                hit = place >= 0
+                own_sums = np.bincount(_wide(rows, len(gram))[hit], _wide(k, len(gram))[hit] * gains[place[hit]], minlength=len(key))
+            some = own_sums != 0
+            each.append(key[some])
+            sums.append(own_sums[some])
+    return _by_document(np.concatenate(each), np.concatenate(sums), buckets)
 
 
 def _by_document(row: np.ndarray, s: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A row for each bucket of documents, with their keys and sums."""
-    bucket = bucket_of(T.mix(row.view(np.uint64)), buckets)
-    order = np.argsort(bucket, kind="stable")
-    return _dealt(bucket[order], {"row": row[order], "s": s[order]})
+    order = together(T.mix(row.view(np.uint64)), [row])
+    row, s = row[order], s[order]
+    return _dealt(bucket_of(T.mix(row.view(np.uint64)), buckets), {"row": row, "s": s})
 
 
 def _scored(table: pa.Table) -> pa.Table:
     """row and s of the documents of a bucket."""
-    each, place = np.unique(_gathered(table, "row", np.int64), return_inverse=True)
-    return pa.table({"row": pa.array(each), "s": pa.array(np.bincount(place, _gathered(table, "s", np.float64), minlength=len(each)))})
+    row, s = _gathered(table, "row", np.int64), _gathered(table, "s", np.float64)
+    order = together(row.view(np.uint64) * _P1, [row])
+    row = row[order]
+    first = _starts([row])
+    return pa.table({"row": pa.array(row[first]), "s": pa.array(np.add.reduceat(s[order], first) if len(row) else s)})
 
 
 def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,55 +428,61 @@ class LanguageModel:
         self.words = self.sizes.agg(F.sum("words")).first()[0] or 0
         self.bucket, self.buckets = bucket, max(1, -(-self.words // bucket))
         self.texts = self.docs.where("text is not null")
+        self.tops: dict[int, tuple[Broadcast, int]] = {}
 
     def _build(self, n: int) -> None:
         keys = ["gram"] if n == 1 else ["prefix", "suffix"]
+        row = "gram long, n long, score double, gain double, part int"
         for turn in range(passes_of(n)):
-            packed = self.texts.select("text").mapInArrow(T.tidy(_counted(n, turn, passes_of(n), self.buckets)), f"bucket int, {', '.join(f'{k} binary' for k in keys)}, n binary")
-            counts = packed.groupBy("bucket").applyInArrow(_added(keys, 1 if n == 1 else self.least), f"{', '.join(f'{k} long' for k in keys)}, n long")
+            packed = self.texts.select("text").mapInArrow(T.tidy(_counted(n, turn, passes_of(n), self.buckets)), f"bucket int, {', '.join(f'{k} binary' for k in keys)}, n binary").groupBy("bucket")
             if n == 1:
-                score = F.log(F.col("n") / F.lit(float(max(1, self.words))))
-                own = counts.select("gram", "n", score.alias("score"), score.alias("gain"))  # whole buckets already
+                own = packed.applyInArrow(_words_added(self.words), row)
             else:
-                counts = self.scratch.save(counts, "counts")
-                shorter = self.table(n - 1)
-                own = counts.join(shorter.select(F.col("gram").alias("prefix"), F.col("n").alias("m")), "prefix")
-                own = own.select("prefix", "suffix", "n", F.log(F.col("n") / F.col("m")).alias("score"))
-                own = own.join(shorter.select(F.col("gram").alias("suffix"), F.col("score").alias("other")), "suffix")
-                gain = F.col("score") - F.lit(float(np.log(self.alpha))) - F.col("other")
-                own = own.select(F.xxhash64("prefix", "suffix").alias("gram"), "n", "score", gain.alias("gain")).repartition(_bucket_column(self.buckets))
-            self.scratch.save(own.withColumn("part", _bucket_column(self.buckets)), f"table-{n}", by="part", more=turn > 0)
+                sent, copies = self._top(n - 1)
+                kinds = "bucket int, a binary, b binary, c binary, d binary, source int, kind string"
+                counts = self.scratch.save(packed.applyInArrow(_added(self.least, self.buckets, copies, sent), kinds), "counts")
+                asked = counts.where("kind <> 'gram'").groupBy("bucket").cogroup(self._parts(n - 1, {"gram": np.int64, "n": np.int64, "score": np.float64}, copies).groupBy("bucket"))
+                answers = asked.applyInArrow(_answered, kinds)
+                own = counts.where("kind = 'gram'").union(answers).groupBy("bucket").applyInArrow(_finished(self.alpha, sent), row)
+            self.scratch.save(own, f"table-{n}", by="part", more=turn > 0)  # whole parts: a task writes each as one file
         self.scratch.drop("counts")
 
     def table(self, n: int) -> DataFrame:
         """A row for each n-gram, in the part (of ``buckets``) that its hash tells."""
         return self.spark.read.schema("gram long, n long, score double, gain double, part int").parquet(self.scratch.path(f"table-{n}"))
 
-    def _sums(self, n: int) -> list[DataFrame]:
+    def _parts(self, n: int, columns: dict[str, type], copies: int) -> DataFrame:
+        """The table's parts as arrays, each ``copies`` times."""
+        packed = self.table(n).select("part", *columns).mapInArrow(T.tidy(_packed(columns)), f"bucket int, {', '.join(f'{c} binary' for c in columns)}")
+        first = F.col("bucket") * copies
+        return packed.select(F.explode(F.sequence(first, first + (copies - 1))).alias("bucket"), *columns)
+
+    def _top(self, n: int) -> tuple[Broadcast, int]:
+        """The most frequent n-grams in order, with gain, number and score, sent to all tasks; into how many each bucket of the others is split."""
+        if n not in self.tops:
+            table = self.table(n)
+            # The n-grams from so many occurrences on that there are at most ``sent``; how many have 1, 2, 4 ... is a row each.
+            power = F.floor(F.log2("n")).cast("int")
+            sizes = sorted(((r["power"], r["k"]) for r in table.groupBy(power.alias("power")).agg(F.count("*").alias("k")).collect()), reverse=True)
+            least, total = (sizes[0][0] + 1 if sizes else 0), 0
+            for x, k in sizes:
+                if (total := total + k) > self.sent:
+                    break
+                least = x
+            top = table.where(power >= least).select("gram", "gain", "n", "score").toPandas()  # at most ``sent`` rows
+            copies = max(1, -(-(2**least) // self.bucket)) if total > self.sent else 1  # no n-gram that isn't sent has more rows than a bucket
+            known = top["gram"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(known)
+            self.tops[n] = self.spark.sparkContext.broadcast((known[order], *(top[c].to_numpy(float)[order] for c in ("gain", "n", "score")))), copies
+        return self.tops[n]
+
+    def _sums(self, n: int) -> DataFrame:
         """row and s: what the n-grams of ``n`` words add to each document."""
-        table = self.table(n)
-        # The n-grams from so many occurrences on that there are at most ``sent``; how many have 1, 2, 4 ... is a row each.
-        power = F.floor(F.log2("n")).cast("int")
-        sizes = sorted(((r["power"], r["k"]) for r in table.groupBy(power.alias("power")).agg(F.count("*").alias("k")).collect()), reverse=True)
-        least, total = (sizes[0][0] + 1 if sizes else 0), 0
-        for x, k in sizes:
-            if (total := total + k) > self.sent:
-                break
-            least = x
-        top = table.where(power >= least).select("gram", "gain").toPandas()  # at most ``sent`` rows
-        copies = max(1, -(-(2**least) // self.bucket)) if total > self.sent else 1  # no n-gram that isn't sent has more rows than a bucket
-        known = top["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(known)
-        sent = self.spark.sparkContext.broadcast((known[order], top["gain"].to_numpy(float)[order]))
-        out = []
-        for part in range(JOINED):
-            rows = self.texts.select("row", "text").mapInArrow(T.tidy(_exploded(n, part, JOINED, self.buckets, copies, sent)), "bucket int, gram binary, row binary, k binary")
-            gains = table.where(F.pmod("gram", F.lit(JOINED)) == part).select("part", "gram", "gain").mapInArrow(T.tidy(_packed), "bucket int, gram binary, gain binary")
-            first = F.col("bucket") * copies
-            gains = gains.select(F.explode(F.sequence(first, first + (copies - 1))).alias("bucket"), "gram", "gain")
-            found = rows.groupBy("bucket").cogroup(gains.groupBy("bucket")).applyInArrow(_told(self.buckets), "bucket int, row binary, s binary")
-            out.append(self.scratch.save(found.groupBy("bucket").applyInArrow(_scored, "row long, s double"), f"sums-{n}-{part}"))
-        return out
+        sent, copies = self._top(n)
+        rows = self.texts.select("row", "text").mapInArrow(T.tidy(_exploded(n, self.buckets, copies, sent)), "bucket int, gram binary, row binary, keys binary, k binary")
+        gains = self._parts(n, {"gram": np.int64, "gain": np.float64}, copies)
+        found = rows.groupBy("bucket").cogroup(gains.groupBy("bucket")).applyInArrow(_told(self.buckets), "bucket int, row binary, s binary")
+        return self.scratch.save(found.groupBy("bucket").applyInArrow(_scored, "row long, s double"), f"sums-{n}")
 
     def scores(self, keep: bool = False) -> DataFrame:
         """doc_id, n_words, log_score, mean_log_score. A table that no longer n-grams need is dropped, but with ``keep``."""
@@ -321,8 +490,9 @@ class LanguageModel:
         for n in range(1, self.order + 1):
             self._build(n)
             if not keep and n > 1:
+                self.tops.pop(n - 1)
                 self.scratch.drop(f"table-{n - 1}")
-            sums += self._sums(n)
+            sums.append(self._sums(n))
         if not keep:
             self.scratch.drop(f"table-{self.order}")
         total = reduce(DataFrame.union, sums).groupBy("row").agg(F.sum("s").alias("s"))

@@ -26,10 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: While a table is written: rows and bytes of an Arrow batch (whole texts, so far fewer rows than Spark's 10,000), and shuffle files.
+#: While a table is written: rows and bytes of an Arrow batch (whole texts, so far fewer rows than Spark's 10,000), shuffle files, and
+#: folders that a task may write to at once, before it sorts its rows by them.
 WRITING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 

@@ -636,6 +636,44 @@ def test_lm_tables_lie_by_hash(spark):
     assert whole.buckets == 1 and got == pytest.approx({r["doc_id"]: r["log_score"] for r in whole.scores().collect()})
 
 
+def test_lm_orders_of_equal_keys():
+    """Equal rows stand together, as they came, also where keys agree in all the bits that the sort looks at."""
+    rng = np.random.default_rng(5)
+    for bits, n in ((0, 0), (0, 1), (3, 50), (12, 3000), (64, 3000)):
+        key = rng.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(64 - bits) if bits < 64 else rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        other = rng.integers(0, 3, n).astype(np.uint64)
+        order = lm_scoring.together(key, [key, other])
+        rows = list(zip(key[order].tolist(), other[order].tolist(), order.tolist()))
+        assert sorted(order.tolist()) == list(range(n))
+        assert len(lm_scoring._starts([key[order], other[order]])) == len({r[:2] for r in rows})
+        assert all(a[2] < b[2] for a, b in zip(rows, rows[1:]) if a[:2] == b[:2])
+
+
+def test_lm_tables_are_made_of_arrays(spark, monkeypatch):
+    """Longer n-grams meet the tables of shorter ones as arrays of a bucket, not as a row each; tables are right whether prefixes and suffixes are sent or asked for."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(200))) for i in range(30)]
+    counts = Counter(tuple(w[i : i + n]) for w in (t.split() for _, t in rows) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    saved, save = [], lm_scoring.Scratch.save
+
+    def counted(self, df, name, *a, **b):
+        out = save(self, df, name, *a, **b)
+        if name == "counts":
+            saved.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm_scoring.Scratch, "save", counted)
+    for sent, bucket in ((0, 10**6), (6, 3000), (10**5, 10**6)):
+        model = lm_scoring.LanguageModel(spark.createDataFrame(rows, "doc_id long, text string"), sent=sent, bucket=bucket)
+        saved.clear()
+        model.scores(keep=True).count()
+        assert len(saved) == 3 and max(saved) <= model.buckets * (1 + 2 * model.buckets)
+        for n in (2, 3):
+            want = sorted((v, math.log(v / counts[k[:-1]])) for k, v in counts.items() if len(k) == n and v > 1)
+            got = sorted((r["n"], r["score"]) for r in model.table(n).collect())
+            assert [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want])
+
+
 def test_pipeline_stages_by_brute_force(spark, none):
     """Repeated rows, null ids and texts, empty texts: each stage by itself against plain Python, and over an empty table."""
     import corpus_pipeline
