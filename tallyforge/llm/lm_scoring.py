@@ -131,6 +131,19 @@ def _wide(x: pa.Scalar, count: int) -> np.ndarray:
     return np.frombuffer(raw, f"u{raw.size // count if count else 1}")
 
 
+def _halved(gram: np.ndarray) -> list[np.ndarray]:
+    """The high 16 bits, the next 16 and the others of sorted hashes: the first repeat, so that they nearly vanish when they are compressed."""
+    return [(gram >> np.uint64(48)).astype(np.uint16), (gram >> np.uint64(32)).astype(np.uint16), gram.astype(np.uint32)]
+
+
+def _whole(x: pa.Scalar) -> np.ndarray:
+    """The hashes of which ``_halved`` made bytes."""
+    raw = x.as_buffer()
+    n = raw.size // 8
+    high, middle = np.frombuffer(raw, np.uint16, 2 * n).astype(np.uint64).reshape(2, n)
+    return (high << np.uint64(48)) | (middle << np.uint64(32)) | np.frombuffer(raw, np.uint32, n, 4 * n)
+
+
 def together(key: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
     """An order by the high bits of ``key``, in which equal rows of ``own`` (they have equal keys) stand together, as they came.
 
@@ -352,14 +365,14 @@ def _exploded(n: int, buckets: int, copies: int, sent):
 
 
 def _of_documents(bucket: np.ndarray, gram: np.ndarray, row: np.ndarray, number: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: n-grams, each with its document's place among ``keys`` and its number. Keys are all documents' or, where that is less, one for each n-gram."""
+    """A row for each bucket: n-grams, each with its document's place among ``keys`` and its number. Keys are all documents' or, where these are more than the n-grams, those of the documents that have any."""
     begin = _starts([bucket])
     columns: list[list[bytes]] = [[], [], [], []]
+    halves = _halved(gram)
     for a, b in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist()):
-        whole = len(key) < b - a
-        own = (gram[a:b], _narrow(row[a:b] if whole else np.arange(b - a)), key if whole else key[row[a:b]], _narrow(number[a:b]))
-        for column, x in zip(columns, own):
-            column.append(x.tobytes())
+        some, at = (np.arange(len(key)), row[a:b]) if len(key) < b - a else np.unique(row[a:b], return_inverse=True)
+        for column, x in zip(columns, (b"".join(x[a:b].tobytes() for x in halves), *(x.tobytes() for x in (_narrow(at), key[some], _narrow(number[a:b]))))):
+            column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "gram", "row", "keys", "k"])
 
 
@@ -382,7 +395,7 @@ def _gains_of(exploded: pa.Table, table: pa.Table, buckets: int) -> pa.RecordBat
             if not k.is_valid:
                 own_sums = np.frombuffer(grams_.as_buffer(), np.float64)
             else:
-                gram = np.frombuffer(grams_.as_buffer(), np.uint64)
+                gram = _whole(grams_)
                 place = _place(own, gram)
                 hit = place >= 0
                 own_sums = np.bincount(_wide(rows, len(gram))[hit], _wide(k, len(gram))[hit] * gains[place[hit]], minlength=len(key))
@@ -445,7 +458,7 @@ class LanguageModel:
                 answers = asked.applyInArrow(_answered, kinds)
                 own = counts.where("kind = 'gram'").union(answers).groupBy("bucket").applyInArrow(_finished(self.alpha, sent), row)
             self.scratch.save(own, f"table-{n}", by="part", more=turn > 0)  # whole parts: a task writes each as one file
-        self.scratch.drop("counts")
+            self.scratch.drop("counts")
 
     def table(self, n: int) -> DataFrame:
         """A row for each n-gram, in the part (of ``buckets``) that its hash tells."""

@@ -649,6 +649,21 @@ def test_lm_orders_of_equal_keys():
         assert all(a[2] < b[2] for a, b in zip(rows, rows[1:]) if a[:2] == b[:2])
 
 
+def test_lm_rows_of_arrays():
+    """What a row of exploded n-grams holds is read back, whether it has fewer or more n-grams than there are documents."""
+    rng = np.random.default_rng(6)
+    for n, docs in ((5000, 40), (300, 7000), (1, 1), (0, 3)):
+        gram = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        row, number, key = rng.integers(0, docs, n).astype(np.int32), rng.integers(1, 70000, n), rng.integers(0, 1 << 62, docs)
+        got = []
+        for r in lm_scoring._of_documents(lm_scoring.bucket_of(gram, 3), gram, row, number, key).to_struct_array():
+            own = lm_scoring._whole(r["gram"])
+            keys = np.frombuffer(r["keys"].as_buffer(), np.int64)[lm_scoring._wide(r["row"], len(own))]
+            assert len(r["keys"].as_py()) <= 8 * max(docs if docs < len(own) else 0, len(set(keys.tolist())))
+            got += zip(own.tolist(), keys.tolist(), lm_scoring._wide(r["k"], len(own)).tolist())
+        assert got == list(zip(gram.tolist(), key[row].tolist(), number.tolist()))
+
+
 def test_lm_tables_are_made_of_arrays(spark, monkeypatch):
     """Longer n-grams meet the tables of shorter ones as arrays of a bucket, not as a row each; tables are right whether prefixes and suffixes are sent or asked for."""
     rng = random.Random(12)
