@@ -23,21 +23,32 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.llm.text import slices, tidy, utf8
+
 BLOCK_IDS = 1 << 18
+SLICE_BYTES = 4 << 20
 MEMO_UNITS = 1_000_000
 MEMO_CHARS = 64
+JOINED_UNITS = 64
 _HEAD = struct.Struct("<4sB3xIQ")
 
-# What the tokenizer's pattern takes as white space, and Latin letters.
+# What the tokenizer's pattern takes as white space, and classes of bytes.
 _SPACE = "\t-\r \x85\xa0  -     　"
-_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-#: Parts of a text that byte-level BPE encodes alike alone and in the text: its pattern always parts them.
-UNITS = re.compile(f" ?[{_LATIN}]+(?=[!-/:-@\\[-`{{-~])| ?[^{_SPACE}]+|[{_SPACE}](?=[^{_SPACE}])|[{_SPACE}]+(?= [^{_SPACE}])|[{_SPACE}]+[^{_SPACE}]*")
+_WHITE, _PUNCT, _QUOTE, _LETTER, _LEAD, _RARE = (1 << i for i in range(6))
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _WHITE
+_CLASS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _PUNCT
+_CLASS[0x27] = _PUNCT | _QUOTE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0xC3:0xC9] = _LEAD  # with any second byte but those of the signs U+00D7 and U+00F7 a Latin letter
+_CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _RARE  # begins all white space beyond ASCII
+_WIDE_SPACES = [c.encode() for c in re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x80, 0x3001))))]
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -94,6 +105,45 @@ class Block:
         return unpack(self._packed, self.width, int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def unit_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Marks bytes before which the pattern of byte-level BPE always parts a text, so that what lies between is encoded alike alone and in the text.
+
+    ``rows``: where texts begin, and the end of the last. The pattern parts before white space; before the last sign of white space and, if that is no
+    blank, after it, where other text follows; between a letter and a sign after it; and between a sign, but for the apostrophe of ``'s``, and a letter after it.
+    """
+    kind = _CLASS[data]
+    white = (kind & _WHITE) > 0
+    wide = np.flatnonzero(kind & _RARE)
+    if len(wide):
+        first, second, third = (data[np.minimum(wide + i, len(data) - 1)].astype(np.uint32) for i in range(3))
+        for c in _WIDE_SPACES:
+            code = first << 8 | second if len(c) == 2 else first << 16 | second << 8 | third
+            at = wide[code == int.from_bytes(c, "big")]
+            for i in range(len(c)):
+                white[at + i] = True
+    letter, sign = (kind & _LETTER) > 0, (kind & _PUNCT) > 0
+    letter_ends = letter.copy()
+    second = np.flatnonzero(kind[:-1] & _LEAD) + 1
+    letter_ends[second] = (data[second] != 0x97) & (data[second] != 0xB7)
+    starts = np.zeros(len(data) + 1, bool)
+    starts[rows] = True
+    other = np.flatnonzero(white[:-1] & ~white[1:] & ~starts[1:-1]) + 1  # follows white space of its text
+    starts[1:-1] |= (white[1:] & ~white[:-1]) | (letter_ends[:-1] & sign[1:]) | (sign[:-1] & ((kind[:-1] & _QUOTE) == 0) & letter[1:])
+    starts[other] = data[other - 1] != 0x20
+    starts[other - np.where(data[other - 1] < 0x80, 1, np.where(data[other - 2] == 0xC2, 2, 3))] = True
+    return starts[:-1]
+
+
+def _distinct(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct units, and for each unit which of them it is."""
+    if not len(starts):
+        return [], np.zeros(0, np.int32)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+    _, offsets, raw = coded.dictionary.buffers()
+    at, raw = np.frombuffer(offsets, np.int64, len(coded.dictionary) + 1).tolist(), raw.to_pybytes()
+    return [raw[x:y] for x, y in zip(at, at[1:])], coded.indices.to_numpy()
+
+
 class Encoder:
     """The tokenizers library behind a bounded memory of the units that it has encoded."""
 
@@ -106,7 +156,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         pieces = json.loads(self.tokenizer.to_str())
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.by_units = (
@@ -115,6 +165,10 @@ class Encoder:
             and plain.items() <= (pieces["pre_tokenizer"] or {}).items()
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in pieces["added_tokens"])
         )
+        added = "|".join(re.escape(t["content"]) for t in pieces["added_tokens"])
+        self.added = re.compile(added) if added else None
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -130,32 +184,74 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        if not self.by_units:
-            return self._plain(texts)
+    def _joined(self, units: list[str]) -> list[bytes]:
+        """As ``_plain`` for units that hold no white space but a first blank: many in a text, parted by line ends."""
+        if self.line is None:
+            return self._plain(units)
+        out: list[bytes] = []
+        parts = [units[i : i + JOINED_UNITS] for i in range(0, len(units), JOINED_UNITS)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array([*e.ids, self.line], "<u4")
+            ends = np.flatnonzero(ids == self.line).tolist()
+            if len(ends) != len(part):
+                out += self._plain(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[4 * at : 4 * end])
+                at = end + 1
+        return out
+
+    def _of_units(self, units: list[bytes], special: bool) -> list[bytes]:
+        """Each unit's ids. ``special``: an added token may be in one."""
         if len(self.known) > MEMO_UNITS:
             self.known.clear()
-        known, out = self.known, []
-        for at in range(0, len(texts), 256):
-            units = [UNITS.findall(t) for t in texts[at : at + 256]]
-            new = list(set().union(*units).difference(known))
-            once = {}
-            for u, ids in zip(new, self._plain(new)):
-                (known if len(u) <= MEMO_CHARS else once)[u] = ids
-            for us in units:
-                try:
-                    out.append(b"".join(map(known.__getitem__, us)))
-                except KeyError:
-                    out.append(b"".join(known.get(u) or once[u] for u in us))
-        return out
+        found = list(map(self.known.get, units))
+        odd, usual = [], []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            u = units[i].decode()
+            (odd if len(u) > MEMO_CHARS or u.isspace() or special and self.added.search(u) else usual).append((i, u))
+        for some, encode in ((odd, self._plain), (usual, self._joined)):
+            for (i, u), ids in zip(some, encode([u for _, u in some])):
+                found[i] = ids
+                if len(u) <= MEMO_CHARS:
+                    self.known[units[i]] = ids
+        return found
+
+    def flat(self, texts: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``last`` behind it, and where each text's begin; a null counts as empty."""
+        end = b"" if last is None else np.array([last], "<u4").tobytes()
+        if self.by_units:
+            data, rows = utf8(texts)
+            cut, special = unit_starts(data, rows), np.zeros(0, np.int64)
+            if self.added is not None:
+                special = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.added.pattern), False))
+            for i in special.tolist():  # such a text is one unit
+                cut[rows[i] + 1 : rows[i + 1]] = False
+            starts = np.flatnonzero(cut)
+            units, unit = _distinct(data, starts)
+            ids = self._of_units(units, len(special) > 0)
+            first = np.searchsorted(starts, rows)
+        else:
+            ids = self._plain([t or "" for t in texts.to_pylist()])
+            unit, first = np.arange(len(ids)), np.arange(len(ids) + 1)
+        unit = np.insert(unit, first[1:], len(ids))  # the last id is one more unit of each text
+        first += np.arange(len(first))
+        _, offsets, raw = pa.array([*ids, end], pa.large_binary()).take(pa.array(unit)).buffers()
+        at = np.frombuffer(offsets, np.int64, len(unit) + 1)[first] // 4 if len(unit) else first
+        return np.frombuffer(raw, "<u4", at[-1]) if at[-1] else np.zeros(0, "<u4"), at
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
+        ids, starts = self.flat(pa.array(texts, pa.large_string()))
+        raw = ids.tobytes()
+        return [raw[4 * x : 4 * y] for x, y in zip(starts.tolist(), starts[1:].tolist())]
 
 
 def write_blocks(df: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> None:
     """Encodes all rows and writes them as blocks at ``path``, in ascending order of id over shards and blocks."""
     schema = "shard int, block int, n_ids long, doc_ids array<bigint>, data binary"
     arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
-    last = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, number = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
@@ -168,13 +264,13 @@ def write_blocks(df: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([held]), pa.array([keys], pa.list_(pa.int64())), pa.array([block(ids, width)], pa.binary())], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for key, raw in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+            for part in slices(batch, "text", SLICE_BYTES):
+                flat, starts = encoder.flat(part.column(1), end_id)
+                starts = starts.tolist()
+                for key, x, y in zip(part.column(0).to_pylist(), starts, starts[1:]):
                     keys.append(key)
-                    ids.append(np.frombuffer(raw + last, "<u4"))
-                    held += len(ids[-1])
+                    ids.append(flat[x:y])
+                    held += y - x
                     if held >= BLOCK_IDS:
                         yield made()
                         keys, ids, held, number = [], [], 0, number + 1
@@ -182,7 +278,7 @@ def write_blocks(df: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc
             yield made()
 
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, schema).write.mode("overwrite").parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(encode), schema).write.mode("overwrite").parquet(path)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:

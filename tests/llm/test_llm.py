@@ -230,6 +230,47 @@ def test_units_are_encoded_as_in_their_text():
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_units_are_few_inputs_of_the_library():
+    own = token_output.Encoder(tokenizer("byte_bpe_50k.json"))
+    library, inputs = own.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            inputs.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    own.tokenizer = Counted()
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randint(5, 9))) for _ in range(3000)})
+    texts = [" ".join(words[i : i + 50]) + rng.choice([".", "!\n", "\u3000x", " <|endoftext|>"]) for i in range(0, len(words), 50)]
+    for _ in range(2):  # from the library, then from memory
+        for t, raw in zip(texts, own.encode(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert len(inputs) < len(words) / 20
+
+
+@pytest.mark.parametrize("by_units", [True, False])
+def test_ids_of_a_batch(by_units):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), token_output.Encoder(path)
+    own.by_units &= by_units
+    rng = random.Random(2)
+    signs = ["a", "É", "ß", "×", "'", "'s", ".", "-", "3", " ", " ", "\n", "\x85", "\xa0", "\u2003", "\u3000", "\u0301", "日" * 70, "<|endoftext|>", "endoftext|"]
+    texts = [None, "", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(3000)), None, "x"]
+    for kind in (pa.string(), pa.large_string()):
+        for last in (None, 2):
+            batch = pa.array(["not", *texts, "these"], kind).slice(1, len(texts))
+            ids, starts = own.flat(batch, last)
+            assert len(starts) == len(texts) + 1
+            for t, x, y in zip(texts, starts, starts[1:]):
+                assert ids[x:y].tolist() == plain.encode(t or "", add_special_tokens=False).ids + [last] * (last is not None), t
+            for few in ([], [None], ["", None]):
+                ids, starts = own.flat(pa.array(few, kind), last)
+                assert ids.tolist() == [last] * (last is not None) * len(few) and len(starts) == len(few) + 1
+
+
 def test_token_output(spark, docs, none):
     from tokenizers import Tokenizer
 
